@@ -12,6 +12,8 @@ it or span - 1 words, and to the right to the full length: each position thus re
 that begins there, and passages are sorted and compared in turn. All passages that repeat are found, and the
 hashes (64 bits) decide which are equal.
 
+Equal texts (by a 128-bit hash) are searched once.
+
 Of equal passages the first is kept, that of the least doc_id and there the first; the words of later ones are
 removed. Counting is pre-aggregated and joins are left to Spark to split, so a passage that
 a third of all documents share isn't gathered anywhere. Positions are gathered per document.
@@ -24,6 +26,8 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -109,13 +113,24 @@ def retained(grams: np.ndarray, owner: np.ndarray, span: int) -> np.ndarray:
     return np.flatnonzero((grams <= most) & (most > 0))
 
 
-def parts(batches):
-    """The batches' rows in slices of some _PART bytes of text."""
+def parts(batches, read):
+    """The batches' rows in slices of some _PART bytes of text, and their texts by read(batch)."""
     for b in batches:
         if b.num_rows:
-            sizes = np.cumsum([len(t) for t in texts(b, "text")])
+            rows = read(b)
+            sizes = np.cumsum([len(t) for t in rows])
             cut = np.unique(np.r_[0, np.searchsorted(sizes, np.arange(_PART, sizes[-1], _PART)) + 1, b.num_rows])
-            yield from (b.slice(i, j - i) for i, j in zip(cut[:-1], cut[1:]))
+            yield from ((b.slice(i, j - i), rows[i:j]) for i, j in zip(cut[:-1], cut[1:]))
+
+
+def _packed(docs: DataFrame) -> DataFrame:
+    """Texts as zstandard frames, for the one join that moves them."""
+    return map_batches(docs, lambda b: {"packed": [zstandard.compress(t, 1) for t in texts(b, "text")]}, "packed binary", ("text",))
+
+
+def _unpacked(b: pa.RecordBatch) -> list[bytes]:
+    open_ = zstandard.ZstdDecompressor().decompress
+    return [open_(x) for x in b.column(b.schema.get_field_index("packed")).to_pylist()]
 
 
 class Words:
@@ -146,31 +161,63 @@ class Words:
 
 def _anchors(docs: DataFrame, passage: int, gram: int, span: int) -> DataFrame:
     def run(batches):
-        for b in parts(batches):
-            words = Words(texts(b, "text"))
+        for b, rows in parts(batches, texts):
+            words = Words(rows)
             at, keys = words.suffixes(passage, gram, span)
             ids = b.column(b.schema.get_field_index("doc_id")).to_numpy()
-            doc = words.owner[at]
+            doc, n = words.owner[at], len(rows)
+            digests = [xxhash.xxh3_128_digest(t) for t in rows]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(keys.view(np.int64)), pa.array(ids[doc]), pa.array((at - words.first[doc]).astype(np.int32))], names=["key", "doc_id", "at"]
+                [
+                    pa.array(np.r_[keys.view(np.int64), np.zeros(n, np.int64)]),
+                    pa.array(np.r_[ids[doc], ids]),
+                    pa.array(np.r_[at - words.first[doc], np.diff(words.first)].astype(np.int32)),
+                    pa.array([None] * len(at) + digests, pa.binary()),
+                ],
+                names=["key", "doc_id", "at", "digest"],
             )
 
-    return docs.mapInArrow(run, "key long, doc_id long, at int")
+    return docs.mapInArrow(run, "key long, doc_id long, at int, digest binary")
+
+
+def _with_neighbour(anchors: DataFrame) -> DataFrame:
+    """doc_id, at of the suffixes that begin as one of their neighbours in sorted order. The order is total, so a
+    hot beginning spreads over partitions; a partition's first and last are let through."""
+
+    def run(batches):
+        held = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            rows = np.stack([b.column(i).to_numpy() for i in range(3)])
+            rows = rows if held is None else np.concatenate([held, rows], axis=1)
+            same = rows[0, 1:] == rows[0, :-1]
+            use = np.r_[held is None or flag, same] | np.r_[same, False]
+            yield pack(rows[:, :-1], use[:-1])
+            held, flag = rows[:, -1:], bool(len(same) and same[-1]) or (rows.shape[1] == 1 and bool(use[0]))
+        if held is not None:
+            yield pack(held, np.array([True]))
+
+    def pack(rows, use):
+        return pa.RecordBatch.from_arrays([pa.array(rows[1][use]), pa.array(rows[2][use].astype(np.int32))], names=["doc_id", "at"])
+
+    order = ["key", "doc_id", "at"]
+    sorted_ = anchors.filter("digest is null").select(*order).repartitionByRange(*order).sortWithinPartitions(*order)
+    return sorted_.select("key", "doc_id", F.col("at").cast("long")).mapInArrow(run, "doc_id long, at int")
 
 
 def _passages(docs: DataFrame, passage: int, gram: int, span: int) -> DataFrame:
-    """docs: doc_id, text, at (the document's candidates). Gives hash, doc_id, start for each passage that a
+    """docs: doc_id, packed, at (the document's candidates). Gives hash, doc_id, start for each passage that a
     candidate reaches. `again`: it stands earlier in the document; `twice`: it does so later."""
 
     def run(batches):
-        for b in parts(batches):
-            words = Words(texts(b, "text"))
+        for b, rows in parts(batches, _unpacked):
+            words = Words(rows)
             at, _ = words.suffixes(passage, gram, span)
             doc = words.owner[at]
-            n = len(words.first) - 1
             wanted = b.column(b.schema.get_field_index("at"))
-            rows = np.repeat(np.arange(n), np.diff(wanted.offsets.to_numpy()))
-            chosen = np.unique(words.first[rows] + wanted.flatten().to_numpy())
+            of = np.repeat(np.arange(len(rows)), np.diff(wanted.offsets.to_numpy()))
+            chosen = np.unique(words.first[of] + wanted.flatten().to_numpy())
             # From behind the candidate before, and at most span - 1 to the left.
             use = np.isin(at, chosen)
             at, doc = at[use], doc[use]
@@ -208,14 +255,19 @@ def _merged(starts: np.ndarray, passage: int) -> list[dict]:
 def repeated_passages(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", passage: int = PASSAGE, gram: int = GRAM, span: int = SPAN) -> DataFrame:
     """One row for each document that holds a repeated passage: doc_id, repeated (spans of words, from start
     until before end), removed (the spans of later copies), n_repeated, n_removed,
-    first_doc_ids (the documents where its passages stand first)."""
+    first_doc_ids (the documents where its passages stand first, and the first
+    of its equals)."""
     if not 0 < gram <= passage - span + 1:
         raise ValueError("passage is too short for gram and span")
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(text, F.lit("")).alias("text")).filter("doc_id is not null")
     anchors = materialize(_anchors(own, passage, gram, span), "suffixes")
-    shared = anchors.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
-    chosen = anchors.join(shared, "key", "left_semi").groupBy("doc_id").agg(F.collect_set("at").alias("at"))
-    passages = materialize(_passages(own.join(chosen, "doc_id"), passage, gram, span), "passages")
+    # Of equal texts only the first is searched; later ones are copies from end to end.
+    info = anchors.filter("digest is not null").select("doc_id", "digest", F.col("at").alias("n_words")).distinct()
+    equal = info.groupBy("digest").agg(F.min("doc_id").alias("like"), F.count("*").alias("n")).filter("n > 1").select("digest", "like")
+    members = materialize(info.filter(F.col("n_words") >= passage).join(equal, "digest").select("doc_id", "like", "n_words"), "copies")
+    chosen = _with_neighbour(anchors).groupBy("doc_id").agg(F.collect_set("at").alias("at"))
+    chosen = chosen.join(members.filter("doc_id <> like"), "doc_id", "left_anti")
+    passages = materialize(_passages(_packed(own).join(chosen, "doc_id"), passage, gram, span), "passages")
     discard(anchors)
     # A passage repeats if it is in two documents or twice in one. Later places in a document are decided.
     each = passages.filter("not again")
@@ -236,8 +288,24 @@ def repeated_passages(docs: DataFrame, text: str = "text", doc_id: str = "doc_id
                 out[f"n_{to}"].append(sum(s["end"] - s["start"] for s in found))
         return out
 
-    done = map_batches(gathered, spans, f"repeated {_SPAN_TYPE}, removed {_SPAN_TYPE}, n_repeated long, n_removed long", ("_all", "_later"))
-    return done.select("doc_id", "repeated", "removed", "n_repeated", "n_removed", F.array_sort("first_doc_ids").alias("first_doc_ids"))
+    found = map_batches(gathered, spans, f"repeated {_SPAN_TYPE}, removed {_SPAN_TYPE}, n_repeated long, n_removed long", ("_all", "_later"))
+    found = materialize(found.select("doc_id", "repeated", "removed", "n_repeated", "n_removed", "first_doc_ids"), "spans")
+    whole = F.array(F.struct(F.lit(0).alias("start"), F.col("n_words").alias("end")))
+    first = F.array_union(F.coalesce("first_doc_ids", F.array().cast("array<long>")), F.array("like"))
+    n = F.col("n_words").cast("long")
+    later = (
+        members.filter("doc_id <> like").join(found.select(F.col("doc_id").alias("like"), "first_doc_ids"), "like", "left")
+        .select("doc_id", whole.alias("repeated"), whole.alias("removed"), n.alias("n_repeated"), n.alias("n_removed"), first.alias("first_doc_ids"))
+    )
+    heads = (
+        found.join(members.filter("doc_id = like"), "doc_id", "full")
+        .select(
+            "doc_id", F.when(n.isNull(), F.col("repeated")).otherwise(whole).alias("repeated"), F.coalesce("removed", F.array().cast(_SPAN_TYPE)).alias("removed"),
+            F.coalesce(n, "n_repeated").alias("n_repeated"), F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"),
+            F.when(n.isNull(), F.col("first_doc_ids")).otherwise(first).alias("first_doc_ids"),
+        )
+    )
+    return heads.unionByName(later).withColumn("first_doc_ids", F.array_sort("first_doc_ids"))
 
 
 def cut_words(text: str, spans: list[dict]) -> str:
