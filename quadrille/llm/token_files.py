@@ -26,7 +26,6 @@ import pandas as pd
 import public_tokenizers
 import pyarrow as pa
 import pyarrow.fs
-import regex
 import xxhash
 import zstandard
 from pyspark import TaskContext
@@ -42,10 +41,12 @@ NULL_ID = -(1 << 63)
 
 class Words:
     """Ids by the tokenizers library, word by word. Texts are cut at ASCII spaces and line ends, which end every
-    word of this tokenizer; the ids of words that were met are kept in a bounded table. A word of letters
-    and ASCII punctuation is cut between them, as the tokenizer does, so that fewer words are distinct."""
+    word of this tokenizer; the ids of words that were met are kept in two bounded tables, of which the older is
+    dropped when the newer is full. A word of letters and ASCII punctuation is cut between them, as the tokenizer
+    does, so that fewer words are distinct. Lower-case ASCII letters stay as they are until the library's model,
+    so they are given to the model itself."""
 
-    MOST = 400_000
+    MOST = 200_000
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -54,43 +55,56 @@ class Words:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.known: dict[str, bytes] = {}
-        self.cut = regex.compile(r"([A-Za-z]{3,})([.,!?;:]+)")
-        self.plain = regex.compile(r"[A-Za-z]+")
+        self.older: dict[str, bytes] = {}
 
-    def _ids(self, words: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+    def _look(self, words) -> tuple[dict[str, bytes], list[str]]:
+        """What is known of words, and the rest."""
+        found, new, known, older = {}, [], self.known, self.older
+        for w in words:
+            ids = known.get(w)
+            if ids is None:
+                ids = older.get(w)
+                if ids is None:
+                    new.append(w)
+                    continue
+                known[w] = ids
+            found[w] = ids
+        return found, new
+
+    def _ids(self, words: list[str]) -> dict[str, bytes]:
+        model = self.tokenizer.model.tokenize
+        plain, rest = [], []
+        for w in words:
+            (plain if w.isascii() and w.isalpha() else rest).append(w)
+        out = {w: array("I", [t.id for t in model(w)]).tobytes() for w in plain}
+        out.update((w, array("I", e.ids).tobytes()) for w, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)))
+        return out
 
-    def learn(self, words: set[str]) -> dict[str, bytes]:
+    def _learn(self, words: list[str]) -> dict[str, bytes]:
         """The ids of words that aren't known; lower case ASCII stands for both cases."""
-        known, parts = self.known, {}
+        parts = {}
         for w in words:
-            m = self.cut.fullmatch(w)
-            parts[w] = tuple(p.lower() if self.plain.fullmatch(p) else p for p in (m.groups() if m else (w,)))
-        new = sorted({p for ps in parts.values() for p in ps if p not in known})
-        made = dict(zip(new, self._ids(new))) if new else {}
-        found = {w: b"".join(made[p] if p in made else known[p] for p in ps) for w, ps in parts.items()}
-        if len(known) + len(made) + len(found) > self.MOST:
-            known.clear()
-        known.update((w, i) for w, i in (made | found).items() if len(w) <= 64)
+            stem = w.rstrip(".,!?;:")
+            if stem.isascii() and stem.isalpha():
+                parts[w] = (stem.lower(), w[len(stem) :]) if len(stem) < len(w) else (stem.lower(),)
+            elif stem.isalpha() and len(stem) < len(w):
+                parts[w] = (stem, w[len(stem) :])
+            else:
+                parts[w] = (w,)
+        ids, new = self._look({p for ps in parts.values() for p in ps})
+        made = self._ids(new)
+        ids.update(made)
+        found = {w: b"".join([ids[p] for p in ps]) for w, ps in parts.items()}
+        self.known.update((w, i) for w, i in (made | found).items() if len(w) <= 64)
         return found
 
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [t.replace("\n", " ").split(" ") for t in texts]
-        known = self.known
-        new = {w for ws in cut for w in ws if w not in known}
-        found = self.learn(new) if new else {}
-        # learn() may have emptied the table, so a word may need another look.
-        known = self.known
-        out = []
-        for ws in cut:
-            try:
-                out.append(b"".join([known[w] for w in ws]))
-            except KeyError:
-                lost = {w for w in ws if w not in known and w not in found}
-                found |= self.learn(lost) if lost else {}
-                known = self.known
-                out.append(b"".join([found[w] if w in found else known[w] for w in ws]))
-        return out
+        found, new = self._look(set().union(*cut))
+        found.update(self._learn(new))
+        if len(self.known) > self.MOST:
+            self.older, self.known = self.known, {}
+        return [b"".join([found[w] for w in ws]) for ws in cut]
 
 
 _WORKERS: dict[str, Words] = {}
