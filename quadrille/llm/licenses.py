@@ -3,8 +3,9 @@
 A text's units are its lines and, if it has several, the whole of it. A unit is lower-cased, what is neither
 letter nor digit becomes a space, and its distinct word bigrams are compared with each template's. With
 threshold t, a template of B bigrams can only match units of t/(2-t) B to (2-t)/t B bigrams, which prunes
-the candidates before bigrams are compared. DataFrame functions only, row by row: nothing is shuffled but the
-matches.
+the candidates before bigrams are compared. It must also share t/(2-t) B of them, so it holds one of a few words
+that most of the template's bigrams have (`keys`); texts and units without any are passed over before they are
+normalised, and lose no match. DataFrame functions only, row by row: nothing is shuffled but the matches.
 
 Null or empty text matches nothing. Of the templates that match a unit the best counts, ties going to the
 first name. Repeated rows of one id count their lines together. Rows without an id keep null as id. Column
@@ -13,9 +14,10 @@ names of the input other than the text and id don't matter.
 
 from __future__ import annotations
 
+import math
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
@@ -36,6 +38,8 @@ TEMPLATES = {
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
 }
 THRESHOLD = 0.8
+#: Words that texts of any kind hold.
+FUNCTION_WORDS = frozenset("a and are any by for has in is of or that the this to under with without".split())
 
 
 def bigrams(text: str) -> list[str]:
@@ -43,30 +47,55 @@ def bigrams(text: str) -> list[str]:
     return list(dict.fromkeys(f"{a} {b}" for a, b in zip(words, words[1:])))
 
 
+def keys(sets: list[list[str]], threshold: float = THRESHOLD) -> list[str]:
+    """Words of which every match holds one. A match shares at least t/(2-t) B of a template's B bigrams, so once
+    fewer of them lack all chosen words, it must share one that has such a word. Long words, being rare, first;
+    function words last."""
+    chosen: list[str] = []
+    for held in sets:
+        need = math.ceil(threshold / (2 - threshold) * len(held) - 1e-9)
+        for word in sorted({w for b in held for w in b.split()}, key=lambda w: (w in FUNCTION_WORDS, -len(w), w)):
+            if sum(not set(b.split()) & set(chosen) for b in held) < need:
+                break
+            if word not in chosen:
+                chosen.append(word)
+    return chosen
+
+
 def scan(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, license, dice (the best), n_units (units that match it), first_line (0-based; null: only the
     whole text matches)."""
+    if not 0 < threshold <= 1:
+        raise ValueError("threshold must be above 0 and at most 1")
     sets = {name: b for name, t in sorted(templates.items()) if (b := bigrams(t))}
     low, high = threshold / (2 - threshold), (2 - threshold) / threshold
-    lines = F.split(F.col(text), "\n")
-    units = F.transform(lines, lambda x, i: F.struct(i.alias("line"), x.alias("unit")))
-    whole = F.when(F.size(lines) > 1, F.array(F.struct(F.lit(None).cast("int").alias("line"), F.col(text).alias("unit"))))
-    every = docs.select(F.col(doc_id).alias("doc_id"), F.inline(F.concat(units, F.coalesce(whole, F.array().cast("array<struct<line:int,unit:string>>")))))
-    cleaned = F.trim(F.regexp_replace(F.lower("unit"), r"[^\p{L}\p{N}]+", " "))
-    words = F.split(cleaned, " ")
-    worded = every.select("doc_id", "line", words.alias("words")).filter(F.size("words") - 1 >= low * min(map(len, sets.values())) - 1e-9)
-    after = F.slice("words", 2, F.size("words"))
-    pairs = F.array_distinct(F.zip_with(F.slice("words", 1, F.size("words") - 1), after, lambda a, b: F.concat_ws(" ", a, b)))
-    paired = worded.select("doc_id", "line", pairs.alias("pairs")).withColumn("n", F.size("pairs"))
     largest, least = max(map(len, sets.values())), min(map(len, sets.values()))
-    paired = paired.filter((F.col("n") <= high * largest + 1e-9) & (F.col("n") >= low * least - 1e-9))
+    key = "(?:" + "|".join(keys(list(sets.values()), threshold)) + r")(?![\p{L}\p{N}])"
+    # A matching unit holds a key word, and so does its text.
+    held = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).filter(F.lower("text").rlike(key))
+    cleaned = held.select("doc_id", F.regexp_replace(F.lower("text"), r"[^\p{L}\p{N}\n]+", " ").alias("cleaned"))
+    lines = F.split("cleaned", "\n")
+    units = F.transform(lines, lambda x, i: F.struct(i.alias("line"), x.alias("unit")))
+    whole = F.array(F.struct(F.lit(None).cast("int").alias("line"), F.translate("cleaned", "\n", " ").alias("unit")))
+    every = F.filter(F.when(F.size(lines) > 1, F.concat(units, whole)).otherwise(units), lambda u: u["unit"].rlike(key))
+    # One transform after the other, so that each value is computed once and used by name.
+    worded = F.transform(every, lambda u: F.struct(u["line"].alias("line"), F.split(F.trim(F.regexp_replace(u["unit"], " +", " ")), " ").alias("words")))
+    worded = F.filter(worded, lambda u: F.size(u["words"]) - 1 >= low * least - 1e-9)
+
+    def paired(u: Column) -> Column:
+        n = F.size(u["words"])
+        pairs = F.zip_with(F.slice(u["words"], 1, n - 1), F.slice(u["words"], 2, n), lambda a, b: F.concat_ws(" ", a, b))
+        return F.struct(u["line"].alias("line"), F.array_distinct(pairs).alias("pairs"))
+
+    sized = cleaned.select("doc_id", F.inline(F.transform(worded, paired))).withColumn("n", F.size("pairs"))
+    sized = sized.filter((F.col("n") <= high * largest + 1e-9) & (F.col("n") >= low * least - 1e-9))
     scores = []
-    for name, held in sets.items():
-        fits = (F.col("n") <= high * len(held) + 1e-9) & (F.col("n") >= low * len(held) - 1e-9)
-        shared = F.size(F.array_intersect("pairs", F.array(*map(F.lit, held))))
-        scores.append(F.when(fits, F.struct((2.0 * shared / (F.col("n") + len(held))).alias("dice"), F.lit(name).alias("license"))))
+    for name, b in sets.items():
+        fits = (F.col("n") <= high * len(b) + 1e-9) & (F.col("n") >= low * len(b) - 1e-9)
+        shared = F.size(F.array_intersect("pairs", F.array(*map(F.lit, b))))
+        scores.append(F.when(fits, F.struct((2.0 * shared / (F.col("n") + len(b))).alias("dice"), F.lit(name).alias("license"))))
     best = F.aggregate(F.array(*scores), F.lit(None).cast("struct<dice:double,license:string>"), lambda a, x: F.when(a.isNull() | (x["dice"] > a["dice"]), x).otherwise(a))
-    matched = paired.select("doc_id", "line", best.alias("best")).filter(F.col("best.dice") >= threshold)
+    matched = sized.select("doc_id", "line", best.alias("best")).filter(F.col("best.dice") >= threshold)
     return matched.groupBy("doc_id", F.col("best.license").alias("license")).agg(
         F.max("best.dice").alias("dice"), F.count("*").alias("n_units"), F.min("line").cast("long").alias("first_line")
     )

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import zlib
 from array import array
 from collections import defaultdict
@@ -301,6 +302,29 @@ def test_licenses(spark):
     assert licenses.scan(df.limit(0)).count() == 0
 
 
+def test_licenses_against_brute_force(spark):
+    """Templates with words taken out, put in or changed: passing over texts without key words loses no match."""
+    rng = random.Random(5)
+    sets = {name: set(licenses.bigrams(t)) for name, t in sorted(licenses.TEMPLATES.items())}
+    units = []
+    for t in licenses.TEMPLATES.values():
+        for _ in range(25):
+            words = t.split()
+            for _ in range(rng.randint(0, 4)):
+                at = rng.randrange(len(words)) if words else 0
+                words[at : at + rng.randint(0, 2)] = rng.choice([[], ["filler"], ["License"], ["the", "by"]])
+            units.append(" ".join(words))
+    got = {(r.doc_id, r.license): r.dice for r in licenses.scan(spark.createDataFrame(list(enumerate(units)), "doc_id long, text string")).collect()}
+    want = {}
+    for i, u in enumerate(units):
+        own = set(licenses.bigrams(u))
+        dice = {name: 2 * len(own & b) / (len(own) + len(b)) for name, b in sets.items()}
+        best = max(sorted(dice), key=dice.get)
+        if dice[best] >= licenses.THRESHOLD:
+            want[i, best] = dice[best]
+    assert got == pytest.approx(want) and 50 < len(want) < len(units)
+
+
 # URLs
 
 
