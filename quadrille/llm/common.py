@@ -9,7 +9,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -46,6 +47,13 @@ def materialize(df: DataFrame, what: str) -> DataFrame:
     return out
 
 
+def number(df: DataFrame) -> Column:
+    """The one value of a global aggregate as a literal. Read at once, so that plans that use it don't repeat
+    the aggregate; null stays null."""
+    value = df.head()[0]
+    return F.lit(None if value is None else float(value)).cast("double")
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete what materialize() wrote, for tables that no later plan reads, and let Spark's cleaner
     find the shuffle files of plans that nothing refers to any more."""

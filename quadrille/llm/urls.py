@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import materialize, number, table
 
 #: verdict, host, beginning of the path
 RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
@@ -60,7 +60,7 @@ def _posterior(units: DataFrame, key: str, name: str) -> DataFrame:
     spread = F.sum(F.when((p > 0) & (p < 1), F.col("n") * (F.col("n") - 1)))
     # Var(bad) = n p (1 - p) (1 + (n - 1) rho) gives rho, and 1 / rho - 1 is the prior's strength.
     rho = F.greatest(F.lit(0.001), F.least(F.lit(0.5), F.coalesce(F.try_divide(excess, spread.cast("double")), F.lit(0.001))))
-    strength = units.agg((1 / rho - 1).alias("m")).scalar()
+    strength = number(units.agg((1 / rho - 1).alias("m")))
     mean = (F.col("bad") + strength * p) / (F.col("n") + strength)
     return units.select("*", mean.alias(f"{name}_mean"), (F.col("n") + strength).alias(f"{name}_strength"))
 
@@ -71,7 +71,9 @@ def reputation(pages: DataFrame, labels: DataFrame) -> DataFrame:
     marked = pages.join(outcome, pages.page_id == outcome.doc_id, "left")
     suffix, domain = domains(F.col("host"))
     hosts = marked.groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad")).select("host", suffix.alias("suffix"), domain.alias("domain"), "n", "bad")
-    total = hosts.agg(((F.sum("bad") + 0.5) / (F.sum("n") + 1.0)).alias("p")).scalar()
+    # One row per host: pages are counted once, and all levels are found from what was counted.
+    hosts = materialize(hosts, "hosts")
+    total = number(hosts.agg(((F.sum("bad") + 0.5) / (F.sum("n") + 1.0)).alias("p")))
     suffixes = hosts.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).withColumn("prior", total)
     suffixes = _posterior(suffixes, "suffix", "s").select("suffix", F.col("s_mean").alias("prior"))
     by_domain = hosts.groupBy("suffix", "domain").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).join(suffixes, "suffix")
