@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_batches, table, texts
+from .common import map_batches, materialize, number, table, texts
 
 FIT_ROWS = 20_000
 N_FEATURES = 256 + 6
@@ -85,7 +85,7 @@ def _strength(units: DataFrame, prior: str) -> DataFrame:
     p, n, good = F.col(prior), F.col("n"), F.col("good")
     excess, spread = F.sum(F.pow(good - n * p, 2) / (p * (1 - p)) - n), F.sum(n * (n - 1)).cast("double")
     rho = F.greatest(F.lit(0.001), F.least(F.lit(0.5), F.coalesce(F.try_divide(excess, spread), F.lit(0.001))))
-    return units.agg((1 / rho - 1).alias("m")).scalar()
+    return number(units.agg((1 / rho - 1).alias("m")))
 
 
 def rates(docs: DataFrame, labels: DataFrame, site: str, path: str, doc_id: str = "doc_id") -> DataFrame:
@@ -93,7 +93,9 @@ def rates(docs: DataFrame, labels: DataFrame, site: str, path: str, doc_id: str
     marks = labelled(labels)
     own = docs.select(F.col(doc_id).alias("doc_id"), F.col(site).alias("_site"), F.col(path).alias("_path"))
     counted = own.join(marks, own.doc_id == marks._id).groupBy("_site", "_path").agg(F.count("*").alias("n"), F.sum("_good").alias("good"))
-    base = counted.agg(((F.sum("good") + 0.5) / (F.sum("n") + 1.0)).alias("p")).scalar()
+    # One row per path: counted once, and all levels are found from what was counted.
+    counted = materialize(counted, "paths")
+    base = number(counted.agg(((F.sum("good") + 0.5) / (F.sum("n") + 1.0)).alias("p")))
     sites = counted.groupBy(F.col("_site").alias("_s")).agg(F.sum("n").alias("n"), F.sum("good").alias("good")).withColumn("base_rate", base)
     m = _strength(sites, "base_rate")
     sites = sites.select("_s", "base_rate", ((F.col("good") + m * F.col("base_rate")) / (F.col("n") + m)).alias("of_site"))
