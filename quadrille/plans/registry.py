@@ -131,10 +131,13 @@ def cell_class_grid(t):
     return g.cell_class(region_sheet(t))
 
 
-@query("x:l y:l", f"SELECT x, y FROM {NATION} c WHERE NOT EXISTS (SELECT 1 FROM {RECTS} r WHERE r.id <= 40 AND c.x BETWEEN r.sx AND r.ex AND c.y BETWEEN r.sy AND r.ey)")
+@query("x:l y:l", f"SELECT x, y FROM (SELECT y, unnest([1, 2, 3]) AS x FROM {_S}) c WHERE NOT EXISTS (SELECT 1 FROM part WHERE c.x BETWEEN p_size AND p_size + 1 AND c.y = p_partkey // 20 + 1)")
 def cells_outside_tables(t):
-    rects = part_rects(t).filter("id <= 40").withColumns({"workbook": F.lit("w"), "sheet": F.lit("nation")})
-    return g.cells_outside(nation_sheet(t), rects)
+    """Suppliers' cells outside the tables that the parts lay out, some twenty parts to a row."""
+    y = F.floor(F.col("p_partkey") / 20) + 1
+    size = F.col("p_size")
+    rects = t.part.select(F.lit("w").alias("workbook"), F.lit("supplier").alias("sheet"), size.alias("sx"), y.alias("sy"), (size + 1).alias("ex"), y.alias("ey"))
+    return g.cells_outside(supplier_sheet(t), rects)
 
 
 @query("pos:l num:d str:s", "SELECT row_number() OVER (ORDER BY (num IS NULL), num, str) AS pos, num, str FROM (SELECT s_suppkey::DOUBLE AS num, NULL AS str FROM supplier UNION ALL SELECT NULL, s_name FROM supplier)")
@@ -165,9 +168,9 @@ def rect_slices(t):
     return part_rects(t).select("id", rect.row_slice(1)["sy"].alias("row_y"), rect.column_slice(1, 2)["sx"].alias("band_sx"), rect.column_slice(3, 2, False)["ex"].alias("free_ex"))
 
 
-@query("id:l x:l y:l", f"SELECT id, unnest(range(sx, ex + 1)) AS x, y FROM (SELECT *, unnest(range(sy, ey + 1)) AS y FROM {RECTS} WHERE id % 10 = 0)")
+@query("id:l x:l y:l", f"SELECT id, unnest(range(sx, ex + 1)) AS x, y FROM (SELECT *, unnest(range(sy, ey + 1)) AS y FROM {RECTS})")
 def rect_cells(t):
-    return rect.inside(part_rects(t).filter("id % 10 = 0"))
+    return rect.inside(part_rects(t))
 
 
 @query("a:l b:l sx:l sy:l ex:l ey:l", f"SELECT a.id AS a, b.id AS b, greatest(a.sx, b.sx) AS sx, greatest(a.sy, b.sy) AS sy, least(a.ex, b.ex) AS ex, least(a.ey, b.ey) AS ey FROM {RECTS} a JOIN {RECTS} b ON a.sheet = b.sheet AND a.id > b.id AND a.sx <= b.ex AND b.sx <= a.ex AND a.sy <= b.ey AND b.sy <= a.ey")
@@ -216,10 +219,10 @@ def contained_pruned(t):
     return rect.pruned(part_rects(t))
 
 
-@query("id:l component:l", f"""WITH RECURSIVE r AS MATERIALIZED (SELECT * FROM {RECTS} WHERE id <= 300), e AS MATERIALIZED (SELECT a.id AS a, b.id AS b FROM r a JOIN r b ON a.sheet = b.sheet AND a.id <> b.id AND a.sx <= b.ex AND b.sx <= a.ex AND a.sy <= b.ey AND b.sy <= a.ey),
+@query("id:l component:l", f"""WITH RECURSIVE r AS MATERIALIZED (SELECT * FROM {RECTS}), e AS MATERIALIZED (SELECT a.id AS a, b.id AS b FROM r a JOIN r b ON a.sheet = b.sheet AND a.id <> b.id AND a.sx <= b.ex AND b.sx <= a.ex AND a.sy <= b.ey AND b.sy <= a.ey),
  c AS (SELECT id AS a, id AS b FROM r UNION SELECT c.a, e.b FROM c JOIN e ON c.b = e.a) SELECT a AS id, min(b) AS component FROM c GROUP BY a""")
 def components(t):
-    rects = part_rects(t).filter("id <= 300")
+    rects = part_rects(t)
     pairs = rect.intersecting(rects).select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
     return discover.components(pairs, rects.select(F.col("id").alias("vertex"))).withColumnRenamed("vertex", "id")
 
@@ -299,10 +302,10 @@ def anchors(t):
 # Lookups
 
 
-@query("okey:l line:l found:d err:s", "SELECT l_orderkey AS okey, l_linenumber AS line, p_retailprice AS found, CASE WHEN p_partkey IS NULL THEN 'N/A' END AS err FROM lineitem LEFT JOIN (SELECT * FROM part WHERE p_partkey % 3 <> 0) ON l_partkey = p_partkey")
+@query("okey:l line:l found:d err:s", "SELECT l_orderkey AS okey, l_linenumber AS line, p_retailprice AS found, CASE WHEN p_partkey IS NULL THEN 'N/A' END AS err FROM lineitem LEFT JOIN part ON l_partkey + 20 = p_partkey")
 def lookup_exact(t):
-    probes = t.lineitem.select(F.col("l_orderkey").alias("okey"), F.col("l_linenumber").alias("line"), "l_partkey")
-    return agg.lookup_exact(probes, "l_partkey", t.part.filter("p_partkey % 3 <> 0"), "p_partkey", "p_partkey", "p_retailprice")
+    probes = t.lineitem.select(F.col("l_orderkey").alias("okey"), F.col("l_linenumber").alias("line"), (F.col("l_partkey") + 20).alias("probe"))
+    return agg.lookup_exact(probes, "probe", t.part, "p_partkey", "p_partkey", "p_retailprice")
 
 
 def _sorted(t: Tables, mode: str) -> DataFrame:
@@ -360,9 +363,9 @@ def scalar_concat(t):
     return t.customer.select("c_custkey", fn.concatenate(fn.number_text(F.col("c_custkey").cast("double")), F.lit("  "), F.col("c_name"), F.lit(" "), F.col("c_mktsegment"), F.lit("  ")).alias("v"))
 
 
-@query("okey:l ratio:d err:s blank:b is_err:b rich:s", "SELECT o_orderkey AS okey, CASE WHEN c_nationkey <> 0 THEN o_totalprice / c_nationkey END AS ratio, CASE WHEN c_nationkey = 0 THEN 'DIV/0!' END AS err, c_custkey IS NULL AS blank, coalesce(c_nationkey = 0, false) AS is_err, CASE WHEN c_acctbal > 0 THEN 't' ELSE 'e' END AS rich FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 7 <> 0) ON o_custkey = c_custkey")
+@query("okey:l ratio:d err:s blank:b is_err:b rich:s", "SELECT o_orderkey AS okey, CASE WHEN c_nationkey <> 0 THEN o_totalprice / c_nationkey END AS ratio, CASE WHEN c_nationkey = 0 THEN 'DIV/0!' END AS err, c_custkey IS NULL AS blank, coalesce(c_nationkey = 0, false) AS is_err, CASE WHEN c_acctbal > 0 THEN 't' ELSE 'e' END AS rich FROM orders LEFT JOIN customer ON o_custkey + 20 = c_custkey")
 def if_error_blank(t):
-    both = t.orders.join(t.customer.filter("c_custkey % 7 <> 0"), F.col("o_custkey") == F.col("c_custkey"), "left")
+    both = t.orders.join(t.customer, F.col("o_custkey") + 20 == F.col("c_custkey"), "left")
     ratio, err = fn.divide(F.col("o_totalprice"), F.col("c_nationkey"))
     return both.select(F.col("o_orderkey").alias("okey"), ratio.alias("ratio"), err.alias("err"), fn.is_blank(F.when(F.col("c_custkey").isNotNull(), "float")).alias("blank"), fn.is_error(err).alias("is_err"), fn.if_(F.col("c_acctbal") > 0, F.lit("t"), F.lit("e")).alias("rich"))
 
@@ -467,10 +470,10 @@ def cell_triples(t):
     return rdf.cell_triples(region_sheet(t))
 
 
-@query("name:s n:l in_a:b in_b:b", "SELECT name, count(*) AS n, bool_or(k = 1) AS in_a, bool_or(k = 2) AS in_b FROM (SELECT DISTINCT p_brand AS name, 1 AS k FROM part WHERE p_size < 10 UNION ALL SELECT DISTINCT p_brand, 2 FROM part WHERE p_partkey % 40 = 1) GROUP BY name UNION ALL SELECT name || '-', 0, true, false FROM (SELECT DISTINCT p_brand AS name FROM part WHERE p_size < 10 EXCEPT SELECT p_brand FROM part WHERE p_partkey % 40 = 1)")
+@query("name:s n:l in_a:b in_b:b", "SELECT name, count(*) AS n, bool_or(k = 1) AS in_a, bool_or(k = 2) AS in_b FROM (SELECT DISTINCT p_brand AS name, 1 AS k FROM part WHERE p_size < 10 UNION ALL SELECT DISTINCT p_brand, 2 FROM part WHERE p_size = 50) GROUP BY name UNION ALL SELECT name || '-', 0, true, false FROM (SELECT DISTINCT p_brand AS name FROM part WHERE p_size < 10 EXCEPT SELECT p_brand FROM part WHERE p_size = 50)")
 def set_ops(t):
     a = t.part.filter("p_size < 10").select(F.col("p_brand").alias("name")).distinct()
-    b = t.part.filter("p_partkey % 40 = 1").select(F.col("p_brand").alias("name")).distinct()
+    b = t.part.filter("p_size = 50").select(F.col("p_brand").alias("name")).distinct()
     both = a.withColumn("k", F.lit(1)).unionByName(b.withColumn("k", F.lit(2))).groupBy("name").agg(F.count("*").alias("n"), F.bool_or(F.col("k") == 1).alias("in_a"), F.bool_or(F.col("k") == 2).alias("in_b"))
     return both.unionByName(a.join(b, "name", "left_anti").select(F.concat("name", F.lit("-")).alias("name"), F.lit(0).alias("n"), F.lit(True).alias("in_a"), F.lit(False).alias("in_b")))
 
@@ -510,7 +513,7 @@ def tables(t):
 
 @query("sheet:s id:l colour:l")
 def coloring(t):
-    return discover.colour_sheets(part_rects(t).filter("id <= 400"))
+    return discover.colour_sheets(part_rects(t))
 
 
 @query("id:l cluster:l")
