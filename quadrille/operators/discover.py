@@ -152,7 +152,10 @@ def leftovers(pairs: DataFrame) -> DataFrame:
 
 def least_colouring(n: int, edges: set[tuple[int, int]], colours: int = COLOURS) -> list[int] | None:
     """The lexicographically smallest valid colouring of vertices 0..n-1 in order, or None."""
-    near = [[b for a, b in edges if a == i and b < i] + [a for a, b in edges if b == i and a < i] for i in range(n)]
+    near: list[list[int]] = [[] for _ in range(n)]
+    for a, b in edges:
+        if a != b:
+            near[max(a, b)].append(min(a, b))
     chosen, i = [0] * n, 0
     while 0 <= i < n:
         taken = {chosen[j] for j in near[i]}
