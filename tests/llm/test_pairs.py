@@ -8,7 +8,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from quadrille.llm import ann, components, embed_dedup, simhash
+from quadrille.llm import ann, components, embed_dedup, jaccard, simhash
 
 SF = "/root/testdata/sf0.001"
 VECTORS = "vec_id long, embedding array<float>, label int"
@@ -93,6 +93,38 @@ def test_simhash_edge_rows_and_clashing_names(spark):
     assert simhash.near_duplicates(empty).count() == 0 and simhash.stage(spark, empty, "").count() == 0
 
 
+def plain_shingles(text):
+    words = (text or "").encode().lower().split()
+    return {b" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+@pytest.mark.parametrize("block", [1000, 3])
+def test_near_copies_equal_brute_force(spark, block):
+    rng, texts = np.random.default_rng(2), ["", " ", "a b", "A  b", "one two three four five"]
+    for _ in range(12):  # copies with 1 to 8 words changed of 60, about the similarity that counts; a notice that all share
+        base = ["the same notice stands in all of these".split(), [f"w{i}" for i in rng.integers(0, 3000, 60)]]
+        for k in range(10):
+            words = sum(base, [])
+            for at in rng.integers(0, len(words), k % 9):
+                words[at] = f"x{rng.integers(0, 10**6)}"
+            texts.append(" ".join(words))
+    texts += [texts[7], texts[30].upper()]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("node", jaccard.node_of(F.col("text")))
+    node = {r.doc_id: r.node for r in docs.collect()}
+    root = {r.node: r.root for r in jaccard.links(docs.select("node", "text"), block=block).collect()}
+    sets = [plain_shingles(t) for t in texts]
+    close = [(a, b) for a, b in combinations(range(len(texts)), 2) if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    assert {frozenset(i for i in node if root.get(node[i], node[i]) == r) for r in (root.get(n, n) for n in node.values())} == {
+        frozenset(i for i, x in union(close, range(len(texts))).items() if x == r) for r in union(close, range(len(texts))).values()
+    }
+
+
+def test_simhash_stage_joins_at_a_similarity_of_four_fifths(spark):
+    """Pairs of sf0.1 that differ in 6 and 7 bits."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").filter("doc_id in (7743, 9710, 989, 7711, 1, 2)")
+    assert sorted(r.doc_id for r in simhash.stage(spark, docs, "").collect()) == [1, 2, 989, 7743]
+
+
 def check_dedup(spark, rows, **more):
     got = embed_dedup.near_duplicates(spark.createDataFrame(rows, VECTORS), **more).toPandas()
     want = embed_dedup.brute_force(pd.DataFrame(rows, columns=["vec_id", "embedding", "label"]))
