@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import forest, map_batches, materialize, partitions, table, texts
 from .components import components
-from .jaccard import near_copies
+from .jaccard import near_copies, node_of
 
 SEED = 42
 
@@ -159,8 +159,12 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of the documents joined by a similarity of 0.8 of their five-word shingles (see jaccard) the one with the
-    least id stays, once. Rows without an id stay. Fingerprints serve op7 alone: near copies differ in up to some 13 bits."""
+    least id stays, once; of rows that repeat an id, each text for itself. Rows without an id stay. Fingerprints serve
+    op7 alone: near copies differ in up to some 13 bits."""
     del spark, sf_dir
-    kept = near_copies(docs.select("doc_id", "text")).groupBy("root").agg(F.min("least_id").alias("kept_id"))
-    known = docs.join(kept, docs.doc_id == kept.kept_id, "left_semi").dropDuplicates(["doc_id"])
-    return known.unionByName(docs.filter("doc_id is null"))
+    known = near_copies(docs.select("doc_id", "text")).filter("least_id is not null")
+    kept = known.groupBy("root").agg(F.min(F.struct("least_id", "node")).alias("kept")).select("kept.*")
+    marked = docs.withColumn("_node", node_of(F.col("text")))
+    same = (marked.doc_id == kept.least_id) & (marked._node == kept.node)
+    stays = marked.join(kept, same, "left_semi").dropDuplicates(["doc_id", "_node"]).drop("_node")
+    return stays.unionByName(docs.filter("doc_id is null"))

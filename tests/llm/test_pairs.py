@@ -125,6 +125,12 @@ def test_simhash_stage_joins_at_a_similarity_of_four_fifths(spark):
     assert sorted(r.doc_id for r in simhash.stage(spark, docs, "").collect()) == [1, 2, 989, 7743]
 
 
+def test_simhash_stage_keeps_both_texts_of_a_clashing_id(spark):
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    docs = spark.createDataFrame([(1, a), (1, b), (2, a + " x"), (3, b + " x"), (1, a)], "doc_id long, text string")
+    assert sorted(map(tuple, simhash.stage(spark, docs, "").collect())) == [(1, a), (1, b)]
+
+
 def check_dedup(spark, rows, **more):
     got = embed_dedup.near_duplicates(spark.createDataFrame(rows, VECTORS), **more).toPandas()
     want = embed_dedup.brute_force(pd.DataFrame(rows, columns=["vec_id", "embedding", "label"]))
