@@ -9,12 +9,42 @@ from pyspark.sql import functions as F
 
 from .operators.grid import column_name, shown
 
-#: Attributes by what they apply to (G graph, N node, E edge) and type.
+#: The rows of gv_attr: (what an attribute applies to: G graph, N node, E edge, S subgraph, C cluster; type), alternatives by |.
 DOT_ATTRIBUTES = {
-    "color": ("GNE", "color"), "fillcolor": ("GNE", "color"), "fontcolor": ("GNE", "color"), "fontname": ("GNE", "string"), "fontsize": ("GNE", "double"), "height": ("N", "double"),
-    "label": ("GNE", "string"), "penwidth": ("GNE", "double"), "rankdir": ("G", "string"), "shape": ("N", "string"), "sides": ("N", "int"), "style": ("GNE", "string"),
-    "tooltip": ("GNE", "string"), "URL": ("GNE", "string"), "weight": ("E", "int"), "width": ("N", "double"), "constraint": ("E", "bool"), "fixedsize": ("N", "bool"),
-    "arrowhead": ("E", "string"), "arrowsize": ("E", "double"), "bgcolor": ("G", "color"), "nodesep": ("G", "double"), "peripheries": ("N", "int"), "ranksep": ("G", "double"),
+    "Damping": (("G", "double"),), "K": (("GC", "double"),), "URL": (("ENGC", "escString"),), "area": (("NC", "double"),), "arrowhead": (("E", "arrowType"),),
+    "arrowsize": (("E", "double"),), "arrowtail": (("E", "arrowType"),), "aspect": (("G", "aspectType"),), "bb": (("G", "rect"),), "bgcolor": (("GC", "color|colorList"),),
+    "center": (("G", "bool"),), "charset": (("G", "string"),), "clusterrank": (("G", "clusterMode"),), "color": (("ENC", "color|colorList"),), "colorscheme": (("ENCG", "string"),),
+    "comment": (("ENG", "string"),), "compound": (("G", "bool"),), "concentrate": (("G", "bool"),), "constraint": (("E", "bool"),), "decorate": (("E", "bool"),),
+    "defaultdist": (("G", "double"),), "dim": (("G", "int"),), "dimen": (("G", "int"),), "dir": (("E", "dirType"),), "diredgeconstraints": (("G", "string|bool"),),
+    "distortion": (("N", "double"),), "dpi": (("G", "double"),), "edgeURL": (("E", "escString"),), "edgehref": (("E", "escString"),), "edgetarget": (("E", "escString"),),
+    "edgetooltip": (("E", "escString"),), "epsilon": (("G", "double"),), "esep": (("G", "addDouble|addPoint"),), "fillcolor": (("NEC", "color|colorList"),),
+    "fixedsize": (("N", "bool"),), "fontcolor": (("ENGC", "color"),), "fontname": (("ENGC", "string"),), "fontnames": (("G", "string"),), "fontpath": (("G", "string"),),
+    "fontsize": (("ENGC", "double"),), "forcelabels": (("G", "bool"),), "gradientangle": (("NCG", "int"),), "group": (("N", "string"),), "headURL": (("E", "escString"),),
+    "head_lp": (("E", "point"),), "headclip": (("E", "bool"),), "headhref": (("E", "escString"),), "headlabel": (("E", "lblString"),), "headport": (("E", "portPos"),),
+    "headtarget": (("E", "escString"),), "headtooltip": (("E", "escString"),), "height": (("N", "double"),), "href": (("GCNE", "escString"),), "id": (("GNE", "escString"),),
+    "image": (("N", "string"),), "imagepath": (("G", "string"),), "imagescale": (("N", "bool"),), "label": (("ENGC", "lblString"),), "labelURL": (("E", "escString"),),
+    "label_scheme": (("G", "int"),), "labelangle": (("E", "double"),), "labeldistance": (("E", "double"),), "labelfloat": (("E", "bool"),), "labelfontcolor": (("E", "color"),),
+    "labelfontname": (("E", "string"),), "labelfontsize": (("E", "double"),), "labelhref": (("E", "escString"),), "labeljust": (("GC", "string"),),
+    "labelloc": (("NGC", "string"),), "labeltarget": (("E", "escString"),), "labeltooltip": (("E", "escString"),), "landscape": (("G", "bool"),), "layer": (("ENC", "layerRange"),),
+    "layerlistsep": (("G", "string"),), "layers": (("G", "layerList"),), "layerselect": (("G", "layerRange"),), "layersep": (("G", "string"),), "layout": (("G", "string"),),
+    "len": (("E", "double"),), "levels": (("G", "int"),), "levelsgap": (("G", "double"),), "lhead": (("E", "string"),), "lheight": (("GC", "double"),), "lp": (("EGC", "point"),),
+    "ltail": (("E", "string"),), "lwidth": (("GC", "double"),), "margin": (("NCG", "double|point"),), "maxiter": (("G", "int"),), "mclimit": (("G", "double"),),
+    "mindist": (("G", "double"),), "minlen": (("E", "int"),), "mode": (("G", "string"),), "model": (("G", "string"),), "mosek": (("G", "bool"),), "nodesep": (("G", "double"),),
+    "nojustify": (("GCNE", "bool"),), "normalize": (("G", "bool"),), "nslimit": (("G", "double"),), "nslimit1": (("G", "double"),), "ordering": (("GN", "string"),),
+    "orientation": (("N", "double"), ("G", "string")), "outputorder": (("G", "outputMode"),), "overlap": (("G", "string|bool"),), "overlap_scaling": (("G", "double"),),
+    "pack": (("G", "bool"),), "packmode": (("G", "packMode"),), "pad": (("G", "double|point"),), "page": (("G", "double|point"),), "pagedir": (("G", "pagedir"),),
+    "pencolor": (("C", "color"),), "penwidth": (("CNE", "double"),), "peripheries": (("NC", "int"),), "pin": (("N", "bool"),), "pos": (("EN", "point|splineType"),),
+    "quadtree": (("G", "quadType|bool"),), "quantum": (("G", "double"),), "rank": (("S", "rankType"),), "rankdir": (("G", "rankdir"),), "ranksep": (("G", "double|doubleList"),),
+    "ratio": (("G", "double"),), "rects": (("N", "rect"),), "regular": (("N", "bool"),), "remincross": (("G", "bool"),), "repulsiveforce": (("G", "double"),),
+    "resolution": (("G", "double"),), "root": (("GN", "string|bool"),), "rotate": (("G", "int"),), "rotation": (("G", "double"),), "samehead": (("E", "string"),),
+    "sametail": (("E", "string"),), "samplepoints": (("N", "int"),), "scale": (("G", "double|point"),), "searchsize": (("G", "int"),), "sep": (("G", "addDouble|addPoint"),),
+    "shape": (("N", "shape"),), "shapefile": (("N", "string"),), "showboxes": (("ENG", "int"),), "sides": (("N", "int"),), "size": (("G", "double|point"),),
+    "skew": (("N", "double"),), "smoothing": (("G", "smoothType"),), "sortv": (("GCN", "int"),), "splines": (("G", "bool"),), "start": (("G", "startType"),),
+    "style": (("ENCG", "style"),), "stylesheet": (("G", "string"),), "tailURL": (("E", "escString"),), "tail_lp": (("E", "point"),), "tailclip": (("E", "bool"),),
+    "tailhref": (("E", "escString"),), "taillabel": (("E", "lblString"),), "tailport": (("E", "portPos"),), "tailtarget": (("E", "escString"),),
+    "tailtooltip": (("E", "escString"),), "target": (("ENGC", "escString"),), "tooltip": (("NEC", "escString"),), "truecolor": (("G", "bool"),), "vertices": (("N", "pointList"),),
+    "viewport": (("G", "viewPort"),), "voro_margin": (("G", "double"),), "weight": (("E", "int"),), "width": (("N", "double"),), "xlabel": (("EN", "lblString"),),
+    "xlp": (("NE", "point"),), "z": (("N", "double"),),
 }
 
 
@@ -49,8 +79,8 @@ def ntriples(triples: DataFrame, base: str = "urn:sheet:") -> DataFrame:
 
 
 def check_dot(attributes: DataFrame) -> DataFrame:
-    """SK7: attributes (target G, N or E; name) that don't exist or don't apply."""
-    known = attributes.sparkSession.createDataFrame([(n, t) for n, (ts, _) in DOT_ATTRIBUTES.items() for t in ts], "name string, target string")
+    """SK7: attributes (target G, N, E, S or C; name) that don't exist or don't apply."""
+    known = attributes.sparkSession.createDataFrame([(n, t) for n, rows in DOT_ATTRIBUTES.items() for ts, _ in rows for t in ts], "name string, target string")
     return attributes.join(F.broadcast(known), ["name", "target"], "left_anti")
 
 

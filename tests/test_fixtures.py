@@ -303,3 +303,11 @@ def test_sinks(spark, tmp_path):
     tokens = rdf.label_tokens(spark.createDataFrame([("Lengte 5 m miljoen",)], "label string"), units).orderBy("pos").collect()
     assert [(r.token, r.kind) for r in tokens] == [("lengte", "word"), ("5", "number"), ("m", "unit"), ("miljoen", "large")]
     assert sinks.unload(c, "w").count() == 0 and c.select(sinks.cell_text(F.lit("a b"), F.col("x"), F.col("y")).alias("t")).head().t == "'a b'.A1"
+
+
+def test_sk7_all_attributes_of_the_table(spark):
+    good = [("E", "arrowtail"), ("S", "rank"), ("C", "pencolor"), ("G", "splines"), ("N", "orientation"), ("G", "orientation"), ("N", "margin"), ("C", "color")]
+    bad = [("S", "label"), ("G", "rank"), ("N", "pencolor")]
+    got = sinks.check_dot(spark.createDataFrame(good + bad, "target string, name string"))
+    assert sorted((r.target, r.name) for r in got.collect()) == sorted(bad)
+    assert sum(map(len, sinks.DOT_ATTRIBUTES.values())) == 166
