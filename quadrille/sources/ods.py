@@ -22,7 +22,7 @@ from ..operators.grid import CELL, FIELDS
 _NS = "urn:oasis:names:tc:opendocument:xmlns:"
 OFFICE, TABLE, TEXT, STYLE, FO = (f"{{{_NS}{n}:1.0}}" for n in ("office", "table", "text", "style", "xsl-fo-compatible"))
 DC = "{http://purl.org/dc/elements/1.1/}"
-#: Trailing repeats without content are padding of the format, not cells.
+#: In rows without any content, elements that repeat more often are padding of the format: they end where the sheet's content does.
 MOST_EMPTY = 10_000
 
 
@@ -87,29 +87,51 @@ def sheets_of(root: ElementTree.Element) -> Iterator[ElementTree.Element]:
             yield t
 
 
+def _filled(cell: ElementTree.Element) -> bool:
+    """A value, text, note or formula."""
+    return len(cell) > 0 or cell.get(f"{TABLE}formula") is not None or value_of(cell)["vtype"] != "no_type"
+
+
+def _used(sheet: ElementTree.Element) -> tuple[int, int]:
+    """The last column and row with content."""
+    y = used_x = used_y = 0
+    for row in sheet.iter(f"{TABLE}table-row"):
+        y, x = y + int(row.get(f"{TABLE}number-rows-repeated", 1)), 0
+        for cell in row:
+            if cell.tag in (f"{TABLE}table-cell", f"{TABLE}covered-table-cell"):
+                x += int(cell.get(f"{TABLE}number-columns-repeated", 1))
+                if _filled(cell):
+                    used_x, used_y = max(used_x, x), y
+    return used_x, used_y
+
+
 def read_cells(url: str, data: bytes) -> Iterator[tuple[str, dict]]:
     """('cell' or 'span', fields) of one archive."""
     for sheet in sheets_of(content(data)):
         name, y = sheet.get(f"{TABLE}name"), 1
+        used_x, used_y = _used(sheet)
         for row in sheet.iter(f"{TABLE}table-row"):
             times, x, found = int(row.get(f"{TABLE}number-rows-repeated", 1)), 1, []
+            filled = any(_filled(c) for c in row)
             for cell in row:
                 if cell.tag not in (f"{TABLE}table-cell", f"{TABLE}covered-table-cell"):
                     continue
                 n = int(cell.get(f"{TABLE}number-columns-repeated", 1))
                 notes, style, value = annotations(cell), cell.get(f"{TABLE}style-name"), value_of(cell)
                 formula = cell.get(f"{TABLE}formula")
-                if (value["vtype"] != "no_type" or notes or formula or style) and not (value["vtype"] == "no_type" and n * times > MOST_EMPTY):
-                    for i in range(n):
-                        found.append(("cell", {"workbook": url, "sheet": name, "x": x + i, "formula": formula, "style": style or "default", "annotations": notes or None} | value))
+                if value["vtype"] != "no_type" or notes or formula or style:
+                    padding = not filled and n * times > MOST_EMPTY
+                    for i in range(min(n, used_x - x + 1) if padding else n):
+                        found.append((used_y if padding else None, "cell", {"workbook": url, "sheet": name, "x": x + i, "formula": formula, "style": style or "default", "annotations": notes or None} | value))
                 w, h = int(cell.get(f"{TABLE}number-columns-spanned", 1)), int(cell.get(f"{TABLE}number-rows-spanned", 1))
                 if w * h > 1:
                     for i in range(n):
-                        found.append(("span", {"workbook": url, "sheet": name, "sx": x + i, "ex": x + i + w - 1, "h": h}))
+                        found.append((None, "span", {"workbook": url, "sheet": name, "sx": x + i, "ex": x + i + w - 1, "h": h}))
                 x += n
-            if found:
-                for k in range(times):
-                    for kind, f in found:
+            ends = [last for last, *_ in found]
+            for k in range((times if None in ends else min(times, max(0, max(ends) - y + 1))) if found else 0):
+                for last, kind, f in found:
+                    if last is None or y + k <= last:
                         yield kind, f | ({"y": y + k} if kind == "cell" else {"sy": y + k, "ey": y + k + f["h"] - 1})
             y += times
 
@@ -175,18 +197,21 @@ def read_layout(spark: SparkSession, path: str) -> dict[str, DataFrame]:
             at, tag, count = 1, f"{TABLE}table-{'column' if what == 'col' else 'row'}", f"{TABLE}number-{'columns' if what == 'col' else 'rows'}-repeated"
             for e in sheet.iter(tag):
                 n = int(e.get(count, 1))
-                if n <= MOST_EMPTY:
-                    out += [(url, name, at + i, e.get(f"{TABLE}style-name")) for i in range(n)]
+                out.append((url, name, at, at + n - 1, e.get(f"{TABLE}style-name")))
                 at += n
         return out
 
     def table(what: str) -> DataFrame:
+        at = {"col": "x", "row": "y"}.get(what)
+        read = schemas[what].replace(f"{at} int", "low int, high int")  # elements that repeat are expanded by Spark
+
         def run(frames):
             for pdf in frames:
                 rows = [r for url, data in zip(pdf["path"], pdf["content"]) for r in rows_of(what, url, data)]
-                yield pd.DataFrame(rows, columns=[c.split()[0] for c in schemas[what].split(", ")])
+                yield pd.DataFrame(rows, columns=[c.split()[0] for c in read.split(", ")])
 
-        return _files(spark, path).select("path", "content").mapInPandas(run, schemas[what])
+        out = _files(spark, path).select("path", "content").mapInPandas(run, read)
+        return out.select("workbook", "sheet", F.explode(F.sequence("low", "high")).alias(at), "style") if at else out
 
     return {what: table(what) for what in schemas}
 

@@ -311,3 +311,24 @@ def test_sk7_all_attributes_of_the_table(spark):
     got = sinks.check_dot(spark.createDataFrame(good + bad, "target string, name string"))
     assert sorted((r.target, r.name) for r in got.collect()) == sorted(bad)
     assert sum(map(len, sinks.DOT_ATTRIBUTES.values())) == 166
+
+
+def test_long_repeats_are_expanded(spark, tmp_path):
+    def cell(attributes, inside=""):
+        return f"<table:table-cell {attributes}>{inside}</table:table-cell>"
+
+    value = cell('office:value-type="float" office:value="1"', "<text:p>1</text:p>")
+    styled = 'table:style-name="s" table:number-columns-repeated="10001"'
+    body = f"<table:table-row>{value}{cell(styled)}</table:table-row>"
+    body += f'<table:table-row table:number-rows-repeated="20000">{cell(styled)}</table:table-row>'
+    body += f"""<table:table-row table:number-rows-repeated="10001">{cell('table:formula="of:=1"')}</table:table-row>"""
+    body += f'<table:table-row table:number-rows-repeated="1000000">{cell(styled)}</table:table-row>'
+    head = " ".join(f'xmlns:{n}="urn:oasis:names:tc:opendocument:xmlns:{n}:1.0"' for n in ("office", "table", "text"))
+    sheet = f'<table:table table:name="S"><table:table-column table:style-name="c" table:number-columns-repeated="16384"/>{body}</table:table>'
+    with zipfile.ZipFile(tmp_path / "long.ods", "w") as z:
+        z.writestr("content.xml", f"<office:document-content {head}><office:body><office:spreadsheet>{sheet}</office:spreadsheet></office:body></office:document-content>")
+    layout = ods.read_layout(spark, f"file://{tmp_path}/long.ods")
+    assert layout["col"].agg(F.count("*"), F.max("x")).head() == (16384, 16384)
+    assert layout["row"].agg(F.count("*"), F.max("y")).head() == (1030002, 1030002)
+    got = ods.read_ods(spark, f"file://{tmp_path}/long.ods").groupBy(F.when(F.col("y") == 1, 1).when(F.col("y") <= 20001, 2).otherwise(3).alias("k")).agg(F.count("*"), F.max("x"), F.max("y"))
+    assert sorted(map(tuple, got.collect())) == [(1, 10002, 10002, 1), (2, 20000, 1, 20001), (3, 10001, 1, 30002)]
