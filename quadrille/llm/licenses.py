@@ -101,8 +101,64 @@ def scan(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", templates:
     )
 
 
+def window_matches(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, license, dice, line of the runs of words, across line ends, that are as long as a template and match it. Of
+    runs that overlap the best counts, ties going to the first name. A run shares t/(2-t) B bigrams, so its text does."""
+    sets = {name: b for name, t in sorted(templates.items()) if (b := bigrams(t))}
+    needs = {name: math.ceil(threshold / (2 - threshold) * len(b) - 1e-9) for name, b in sets.items()}
+    lengths = {name: len(re.sub(r"[\W_]+", " ", templates[name].lower()).split()) for name in sets}
+    literal = {name: F.array(*map(F.lit, b)) for name, b in sets.items()}
+    every = F.array(*map(F.lit, dict.fromkeys(b for held in sets.values() for b in held)))
+    key = "(?:" + "|".join(keys(list(sets.values()), threshold)) + r")(?![\p{L}\p{N}])"
+    held = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).filter(F.lower("text").rlike(key))
+    cleaned = held.select("doc_id", F.regexp_replace(F.lower("text"), r"[^\p{L}\p{N}\n]+", " ").alias("cleaned"))
+
+    def joined(words: Column) -> Column:
+        n = F.size(words)
+        return F.zip_with(F.slice(words, 1, F.greatest(n - 1, F.lit(0))), F.slice(words, 2, n), lambda a, b: F.concat_ws(" ", a, b))
+
+    whole = F.split(F.trim(F.regexp_replace("cleaned", "[ \n]+", " ")), " ")
+    shared = cleaned.withColumn("shared", F.transform(F.array(whole), lambda w: F.array_intersect(joined(w), every))[0])
+    enough = [F.when(F.size(F.array_intersect("shared", literal[name])) >= needs[name], F.lit(name)) for name in sets]
+    left = shared.filter(F.size("shared") >= min(needs.values())).select("doc_id", "cleaned", F.array_compact(F.array(*enough)).alias("may")).filter(F.size("may") > 0)
+    placed = F.flatten(F.transform(F.split("cleaned", "\n"), lambda x, i: F.transform(F.filter(F.split(x, " "), lambda w: w != ""), lambda w: F.struct(i.alias("line"), w.alias("word")))))
+    left = left.withColumn("placed", placed).withColumn("words", F.col("placed.word")).withColumn("pairs", joined(F.col("words")))
+    runs = []
+    for name, b in sets.items():
+        size = lengths[name]
+
+        def scored(start: Column) -> Column:
+            # One transform in the other, so that the run's bigrams are made once.
+            own = F.array_distinct(F.slice("pairs", start + 1, size - 1))
+            dice = F.transform(F.array(own), lambda p: 2.0 * F.size(F.array_intersect(p, literal[name])) / (F.size(p) + len(b)))[0]
+            return F.struct((-dice).alias("minus"), F.lit(name).alias("license"), start.alias("start"), (start + size).alias("end"))
+
+        hits = F.filter(F.transform("pairs", lambda p, i: F.when(F.array_contains(literal[name], p), i)), lambda i: i.isNotNull())
+        # Lambdas are called at once, with this template.
+        starts = F.array_distinct(F.flatten(F.transform(hits, lambda i: F.sequence(F.greatest(i - (size - 2), F.lit(0)), i))))
+        good = F.filter(F.transform(starts, scored), lambda r: r["minus"] <= -threshold)
+        runs.append(F.when(F.array_contains("may", name), good).otherwise(F.slice(good, 1, 0)))
+    best = left.select("doc_id", "placed", F.array_sort(F.concat(*runs)).alias("runs")).filter(F.size("runs") > 0)
+    taken = F.aggregate("runs", F.slice("runs", 1, 0), lambda got, r: F.when(F.exists(got, lambda g: (g["start"] < r["end"]) & (r["start"] < g["end"])), got).otherwise(F.concat(got, F.array(r))))
+    out = best.select("doc_id", "placed", F.explode(taken).alias("r"))
+    return out.select("doc_id", F.col("r.license").alias("license"), (-F.col("r.minus")).alias("dice"), F.col("placed")[F.col("r.start")]["line"].cast("long").alias("line"))
+
+
+def scan_all(docs: DataFrame, **more: object) -> DataFrame:
+    """scan(), and the licences that only a run of words within or across lines names: with n_units 0, and as first_line
+    the line where the first such run begins."""
+    units = scan(docs, **more).select("doc_id", "license", "dice", "n_units", "first_line")
+    runs = window_matches(docs, **more).select("doc_id", "license", "dice", F.lit(0).cast("long").alias("n_units"), F.col("line").alias("first_line"))
+    unit = F.col("n_units") > 0
+    both = units.unionByName(runs).groupBy("doc_id", "license").agg(
+        F.coalesce(F.max(F.when(unit, F.col("dice"))), F.max("dice")).alias("dice"), F.sum("n_units").alias("n_units"),
+        F.when(F.max(unit), F.min(F.when(unit, F.col("first_line")))).otherwise(F.min("first_line")).alias("first_line"),
+    )
+    return both
+
+
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan(table(spark, sf_dir, "documents"))
+    return scan_all(table(spark, sf_dir, "documents"))
 
 
 def _sql() -> str:

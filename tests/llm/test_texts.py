@@ -325,6 +325,16 @@ def test_licenses_against_brute_force(spark):
     assert got == pytest.approx(want) and 50 < len(want) < len(units)
 
 
+def test_licenses_within_and_across_lines(spark):
+    gpl = "This work is licensed under the GNU General\nPublic License, version 3."
+    bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following\nconditions are met"
+    rows = [(1, f"some words before\n{gpl}\nand some words after it"), (2, f"a program\n{bsd}:\n{'none at all ' * 9}{' '.join(map(str, range(30)))}"), (3, "It is here. Released under the MIT License. It was long ago."), (4, "the mit licence is old news")]
+    rows += [(5, "some words before\nLicensed under CC BY-NC 4.0.\nand some after")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.license): (round(r.dice, 3), r.n_units, r.first_line) for r in licenses.scan_all(df).collect()}
+    assert got == {(1, "GPL-3.0"): (1.0, 0, 1), (2, "BSD-3-Clause"): (1.0, 0, 1), (3, "MIT"): (1.0, 0, 0), (5, "CC-BY-NC-4.0"): (1.0, 1, 1)}
+
+
 # URLs
 
 
