@@ -3,8 +3,8 @@
 Encoding. A text is cut into pieces by the tokenizer's pattern. A piece starts as the array of its
 bytes; merges are folded over it: every step finds the adjacent pair of least rank (leftmost on ties),
 puts the merged token in its place and looks up the ranks of the two pairs that arise, until no pair has
-a rank. Only distinct words are folded: each Python worker keeps a bounded table of words it has met,
-which decides when a word is folded again, never its ids. Decoding concatenates the ids' byte strings.
+a rank. Only the distinct words of a block of texts are folded, all of one length side by side as rows of an
+array. Decoding concatenates the ids' byte strings.
 
 `Coder` is the same fold as Spark higher-order functions over a literal rank map (a map from a token's bytes
 to its rank, dealt into hash buckets because a Spark map is searched entry by entry; in it a byte is a
@@ -13,7 +13,8 @@ latin-1 character). It gives the same ids, but costs too much for whole corpora
 
 Null text counts as empty; empty text has no ids. Rows are handled one by one: repeated rows and ids
 give repeated results. Long texts are processed whole; a piece of n bytes takes at most n - 1 steps.
-Further columns of the input are kept; those named n_tokens, ids and decoded are replaced.
+Further columns of the input are kept; those named n_tokens, ids, decoded, ids_sha256 and decoded_sha256 are
+replaced by what a function returns.
 """
 
 from __future__ import annotations
@@ -21,8 +22,10 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
-from array import array
+import string
+from itertools import chain
 
+import numpy as np
 import pandas as pd
 import public_tokenizers
 import pyarrow as pa
@@ -30,8 +33,11 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .blocks import Cut, blocks, gather
 from .common import map_batches, table
 
+#: Bytes of pieces that are folded side by side, and those of a piece that is folded by a heap, alone.
+FOLDED, LONG = 400_000, 64
 NONE = 2147483647  #: rank of a pair that doesn't merge
 #: Unicode's White_Space, which \s means in the tokenizer's pattern but not in Java's.
 SPACE = r"\t-\r \u0085\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
@@ -133,7 +139,7 @@ def fold(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     """The ids of one piece."""
     if (whole := ranks.get(piece)) is not None:
         return [whole]
-    if len(piece) > 400:
+    if len(piece) > LONG:
         return _fold_long(piece, ranks)
     get = ranks.get
     parts = [piece[i : i + 1] for i in range(len(piece))]
@@ -179,52 +185,194 @@ def _fold_long(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[x] for x in part if x is not None]
 
 
-class Words:
-    """Ids of texts. Texts are cut at single spaces between other characters, where the pattern always begins
-    a piece, and the ids of such words are kept in a bounded table."""
+class Merges:
+    """The merges of a set of ranks as a hash table over pairs of ids, for folding many pieces at once."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.ranks = ranks
+        pairs = [(ranks[t[:i]], ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
+        made = np.array(pairs, np.int64).reshape(-1, 3)
+        keys, rank = made[:, 0] << 32 | made[:, 1], made[:, 2]
+        self.bits = max(4, (4 * len(keys)).bit_length())
+        self.keys, self.values = np.full(1 << self.bits, -1, np.int64), np.full(1 << self.bits, NONE, np.int64)
+        self.probes, left, at = 0, np.arange(len(keys)), self._slot(keys)
+        while len(left):
+            self.probes += 1
+            free = self.keys[at[left]] == -1
+            # Of keys that want one slot the last written stays.
+            self.keys[at[left[free]]] = keys[left[free]]
+            done = free & (self.keys[at[left]] == keys[left])
+            self.values[at[left[done]]] = rank[left[done]]
+            left = left[~done]
+            at[left] = (at[left] + 1) & ((1 << self.bits) - 1)
+        self.bytes = np.array([ranks.get(bytes([b]), -1) for b in range(256)], np.int64)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The rank of a's and b's tokens joined, NONE without one or where either is NONE."""
+        keys = a << 32 | b
+        at = self._slot(keys)
+        out = np.where(self.keys[at] == keys, self.values[at], NONE)
+        left = np.flatnonzero((self.keys[at] != keys) & (self.keys[at] != -1))
+        for _ in range(self.probes - 1):
+            if not len(left):
+                break
+            at[left] = (at[left] + 1) & ((1 << self.bits) - 1)
+            hit = self.keys[at[left]] == keys[left]
+            out[left[hit]] = self.values[at[left[hit]]]
+            left = left[~hit & (self.keys[at[left]] != -1)]
+        return out
+
+    def fold(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of pieces of one length, a row of bytes each: an array of ids, and how many are a row's."""
+        rows, width = data.shape
+        ids, count = self.bytes[data], np.full(rows, width)
+        ids = np.c_[ids, np.full(rows, NONE)]
+        pair = np.full((rows, width + 1), NONE, np.int64)
+        for k in range(width - 1):
+            pair[:, k] = self.rank(ids[:, k], ids[:, k + 1])
+        out, place, now = np.full((rows, width), NONE, np.int64), np.arange(rows), np.arange(width + 1)
+        while len(place):
+            at = pair.argmin(1)
+            row = np.arange(len(place))
+            least = pair[row, at]
+            ended = least == NONE
+            if ended.any():
+                out[place[ended]] = ids[ended, :width]
+                go = ~ended
+                ids, pair, place, at, least = ids[go], pair[go], place[go], at[go], least[go]
+                row = np.arange(len(place))
+                if not len(place):
+                    break
+            count[place] -= 1
+            # The id right of the pair goes, and its pair with it.
+            moved = np.minimum(now + (now > at[:, None]), width)
+            ids = np.take_along_axis(ids, moved, 1)
+            pair = np.take_along_axis(pair, np.minimum(now + (now >= at[:, None]), width), 1)
+            ids[row, at] = least
+            pair[row, at] = self.rank(least, ids[row, at + 1])
+            left = np.flatnonzero(at > 0)
+            pair[left, at[left] - 1] = self.rank(ids[left, at[left] - 1], least[left])
+        return out, count
+
+    def pieces(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of pieces end to end, and how many each has."""
+        get = self.ranks.get
+        whole = np.array([get(p, -1) for p in pieces], np.int64)
+        size = np.array([len(p) for p in pieces], np.int64)
+        count = np.ones(len(pieces), np.int64)
+        parts, of = [whole[whole >= 0]], [np.flatnonzero(whole >= 0)]
+        for n in np.unique(size[whole < 0]).tolist():
+            every = np.flatnonzero((whole < 0) & (size == n))
+            for k in range(0, len(every), max(1, FOLDED // n)):
+                chosen = every[k : k + max(1, FOLDED // n)]
+                if n > LONG:
+                    made = [fold(pieces[i], self.ranks) for i in chosen]
+                    count[chosen] = [len(m) for m in made]
+                    parts.append(np.array([i for m in made for i in m], np.int64))
+                else:
+                    ids, count[chosen] = self.fold(np.frombuffer(b"".join([pieces[i] for i in chosen]), np.uint8).reshape(-1, n))
+                    parts.append(ids[ids != NONE])
+                of.append(chosen)
+        # The parts lie in the order of `of`; put them in the pieces' order.
+        of_all, flat = np.concatenate(of), np.concatenate(parts)
+        held = count[of_all]
+        start = np.zeros(len(pieces), np.int64)
+        start[of_all] = np.cumsum(held) - held
+        total = np.r_[0, np.cumsum(count)]
+        return flat[np.repeat(start - total[:-1], count) + np.arange(total[-1])], count
+
 
-    MOST = 400_000
+class Words:
+    """Ids of texts, a block at a time. Texts are cut at single spaces and line ends between other characters, where
+    the pattern always ends a piece (a space begins the next, a line end is a piece of its own); each distinct word
+    of a block is cut by the pattern, and each distinct piece is folded once."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.ranks, self.pattern = ranks, regex.compile(pattern)
-        self.odd = regex.compile(r" \s|\s |^ | $")
+        self.pattern, self.merges = regex.compile(pattern), Merges(ranks)
         self.spaced = pattern == public_tokenizers.PATTERN
-        self.known: dict[str, bytes] = {}
-
-    def word(self, word: str) -> bytes:
-        ids = array("I", [i for m in self.pattern.finditer(word) for i in fold(m.group().encode(), self.ranks)])
-        if len(self.known) >= self.MOST:
-            self.known.clear()
-        if len(word) <= 64:
-            self.known[word] = ids.tobytes()
-        return ids.tobytes()
-
-    def encode(self, text: str) -> bytes:
-        """Little-endian unsigned 32-bit ids."""
-        if not text:
-            return b""
-        if not self.spaced or self.odd.search(text):
-            words = [m.group() for m in self.pattern.finditer(text)]
+
+    def _cut(self, word: str, space: str) -> list[str]:
+        """The pattern's pieces of a word that has `space` before it."""
+        stem = word.rstrip(string.punctuation)
+        if stem.isalpha():
+            # Letters, then a run of punctuation.
+            return [space + stem, word[len(stem) :]] if len(stem) < len(word) else [space + word]
+        return [m.group() for m in self.pattern.finditer(space + word)]
+
+    def encode(self, texts: pa.Array) -> list[memoryview]:
+        """Of each text (null: empty) its ids as little-endian unsigned 32-bit integers."""
+        pieces: dict[str, int] = {"": 0}
+        number = pieces.setdefault
+        if self.spaced:
+            cut = Cut(texts)
+            # A text with white space next to other white space, or at an end, is cut as a whole.
+            odd_word = np.array([not w or w[0].isspace() or w[-1].isspace() for w in cut.words], bool)
+            odd = np.maximum.reduceat(odd_word[cut.at], cut.first[:-1]) if len(texts) else np.zeros(0, bool)
+            plain = np.repeat(~odd, np.diff(cut.first))
+            # Each word with the space before it, if any, is a word of its own.
+            coded = cut.at * 2 + (cut.before == 32)
+            used = np.zeros(2 * len(cut.words), bool)
+            used[coded[plain]] = True
+            used = np.flatnonzero(used)
+            numbers = [[number(p, len(pieces)) for p in self._cut(cut.words[u >> 1], " " * (u & 1))] for u in used.tolist()]
+            end = number("\n", len(pieces))
+            of_word = np.zeros(2 * len(cut.words), np.int64)
+            of_word[used] = np.arange(len(used))
         else:
-            first, *rest = text.split(" ")
-            words = [first, *[" " + w for w in rest]]
-        known = self.known
-        try:
-            return b"".join([known[w] for w in words])
-        except KeyError:
-            return b"".join([known.get(w) or self.word(w) for w in words])
+            odd = np.ones(len(texts), bool)
+        whole = {int(k): [number(m.group(), len(pieces)) for m in self.pattern.finditer(texts[int(k)].as_py() or "")] for k in np.flatnonzero(odd)}
+        ids, count = self.merges.pieces([p.encode() for p in list(pieces)[1:]])
+        ids, length = ids.astype("<u4"), np.r_[0, count]
+        start = np.cumsum(length) - length
+        out = [memoryview(ids[np.concatenate([np.arange(start[p], start[p] + length[p]) for p in whole[k]])].tobytes() if whole.get(k) else b"") for k in range(len(texts))] if odd.any() else []
+        if odd.all():
+            return out
+        # Ids of each word, of which the first place is a line end's or none's.
+        n = np.fromiter(map(len, numbers), np.int64, len(numbers))
+        flat = np.fromiter(chain.from_iterable(numbers), np.int64, int(n.sum()))
+        each = np.add.reduceat(length[flat], np.cumsum(n) - n)
+        words = ids[np.repeat(start[flat] - (np.cumsum(length[flat]) - length[flat]), length[flat]) + np.arange(length[flat].sum())]
+        table = np.r_[words, ids[start[end] : start[end] + length[end]]]
+        begin, size = np.r_[np.cumsum(each) - each, len(words), 0], np.r_[each, length[end], 0]
+        seq = np.stack([np.where(cut.before == 10, len(each), len(each) + 1), of_word[coded]], 1)
+        seq[~plain] = len(each) + 1
+        made = gather(table, begin, size, seq.ravel(), 2 * np.diff(cut.first))
+        return [out[k] if odd[k] else m for k, m in enumerate(made)] if out else made
+
+
+class Decoder:
+    """Byte strings of ids. Ids without a token are an error."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.pieces: list[bytes | None] = [None] * (max(ranks.values()) + 1)
+        for t, r in ranks.items():
+            self.pieces[r] = t
+
+    def decode(self, ids: bytes | memoryview | None) -> bytes:
+        return b"".join(map(self.pieces.__getitem__, memoryview(ids or b"").cast("I")))
 
 
 _WORKERS: dict[str, Words] = {}
 
 
+def _worker(key: str, ranks: dict[bytes, int], pattern: str) -> Words:
+    return _WORKERS.get(key) or _WORKERS.setdefault(key, Words(ranks, pattern))
+
+
+def _key(ranks: dict[bytes, int], pattern: str) -> str:
+    return hashlib.sha256(repr((sorted(ranks.items()), pattern)).encode()).hexdigest()
+
+
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str = public_tokenizers.PATTERN, text: str = "text", drop: tuple[str, ...] = ()) -> DataFrame:
     """docs with n_tokens and ids (binary, little-endian unsigned 32-bit integers)."""
-    key = hashlib.sha256(repr((sorted(ranks.items()), pattern)).encode()).hexdigest()
+    key = _key(ranks, pattern)
 
     def run(batch: pa.RecordBatch) -> dict:
-        words = _WORKERS.get(key) or _WORKERS.setdefault(key, Words(ranks, pattern))
-        ids = [words.encode(t or "") for t in batch.column(batch.schema.get_field_index(text)).to_pylist()]
+        column = batch.column(batch.schema.get_field_index(text))
+        ids = [bytes(x) for i, j in blocks(batch, text) for x in _worker(key, ranks, pattern).encode(column.slice(i, j - i))]
         return {"n_tokens": [len(x) // 4 for x in ids], "ids": ids}
 
     return map_batches(docs, run, "n_tokens long, ids binary", drop)
@@ -232,30 +380,44 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str = public_token
 
 def decode(df: DataFrame, ranks: dict[bytes, int], ids: str = "ids", drop: tuple[str, ...] = ()) -> DataFrame:
     """df with decoded (binary). Ids without a token are an error; null ids count as none."""
-    pieces: list[bytes | None] = [None] * (max(ranks.values()) + 1)
-    for t, r in ranks.items():
-        pieces[r] = t
+    decoder = Decoder(ranks)
 
     def run(batch: pa.RecordBatch) -> dict:
-        get = pieces.__getitem__
-        rows = batch.column(batch.schema.get_field_index(ids)).to_pylist()
-        return {"decoded": [b"".join(map(get, array("I", x or b""))) for x in rows]}
+        return {"decoded": [decoder.decode(x) for x in batch.column(batch.schema.get_field_index(ids)).to_pylist()]}
 
     return map_batches(df, run, "decoded binary", drop)
 
 
-def _coded(docs: DataFrame, drop: tuple[str, ...]) -> DataFrame:
-    ranks = load_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
-    done = decode(encode(docs, ranks, drop=drop), ranks)
-    return done.withColumns({"ids_sha256": F.sha2("ids", 256), "decoded_sha256": F.sha2("decoded", 256)})
+def coded(docs: DataFrame, ranks: dict[bytes, int], pattern: str = public_tokenizers.PATTERN, text: str = "text", keep_ids: bool = True, drop: tuple[str, ...] = ()) -> DataFrame:
+    """docs with n_tokens, ids (unless keep_ids is false), ids_sha256 and decoded_sha256, encoded and decoded in one pass."""
+    key = _key(ranks, pattern)
+    decoder = Decoder(ranks)
+
+    def run(batch: pa.RecordBatch) -> dict:
+        column = batch.column(batch.schema.get_field_index(text))
+        out: dict[str, list] = {"n_tokens": [], "ids": [], "ids_sha256": [], "decoded_sha256": []}
+        for i, j in blocks(batch, text):
+            for x in _worker(key, ranks, pattern).encode(column.slice(i, j - i)):
+                out["n_tokens"].append(len(x) // 4)
+                if keep_ids:
+                    out["ids"].append(bytes(x))
+                out["ids_sha256"].append(hashlib.sha256(x).hexdigest())
+                out["decoded_sha256"].append(hashlib.sha256(decoder.decode(x)).hexdigest())
+        return out
+
+    ids = "ids binary, " if keep_ids else ""
+    return map_batches(docs, run, f"n_tokens long, {ids}ids_sha256 string, decoded_sha256 string", drop)
+
+
+RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return _coded(docs, ("text",)).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+    return coded(docs, load_ranks(public_tokenizers.path(RANKS)), keep_ids=False, drop=("text",))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The last stage: each document that the mix emits, as ids, with digests of ids and decoded bytes."""
     del spark, sf_dir
-    return _coded(docs, ("text",)).drop("decoded")
+    return coded(docs, load_ranks(public_tokenizers.path(RANKS)), drop=("text",))

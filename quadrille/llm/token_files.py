@@ -8,18 +8,24 @@ that lists the documents of each frame: id, n_tokens. Any zstandard reader can r
 
 Files are written by tasks into a folder that all executors share, to a name of their own, and then moved to
 their final name, so a task that is run again does no harm. Document ids are dealt by range, so files in
-order of number are in order of id. Null text counts as empty (the end id alone). Null ids come first.
-Rows that repeat an id are written in order of their text. Empty tables give no file.
+order of number are in order of id. Null text counts as empty (the end id alone). Null ids come first (their
+frame's number is written as its complement). Rows that repeat an id are written in order of their text. Empty
+tables give no file. Columns other than the text and id don't matter.
+
+Special tokens' strings in a text become the special tokens' ids, as the library does unless it is told otherwise.
 """
 
 from __future__ import annotations
 
+import json
 import os
+import re
+import string
 import struct
 import uuid
 import zlib
-from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -32,79 +38,101 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .blocks import Cut, blocks, gather
 from .common import BATCH_ROWS, new_path, table
 
 SKIPPABLE, FOOTER = 0x184D2A5E, 0x8F92EAB1
 DOCS = 0x184D2A50
-NULL_ID = -(1 << 63)
+#: Characters that the normaliser composes, or doesn't lower-case into one letter.
+UNSAFE = re.compile("[\u0130\u0300-\U0010ffff]")
+
+
+#: What the cuts of Words rely on; a tokenizer of any other make is given whole texts.
+NORMALIZER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+
+
+def _byte_letters() -> dict[int, str]:
+    """Byte-level tokenizers' letter for each byte: printable ones are themselves, others follow from U+0100 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    other = iter(range(256, 512))
+    return {b: chr(b if b in plain else next(other)) for b in range(256)}
 
 
 class Words:
-    """Ids by the tokenizers library, word by word. Texts are cut at ASCII spaces and line ends, which end every
-    word of this tokenizer; the ids of words that were met are kept in two bounded tables, of which the older is
-    dropped when the newer is full. A word of letters and ASCII punctuation is cut between them, as the tokenizer
-    does, so that fewer words are distinct. Lower-case ASCII letters stay as they are until the library's model,
-    so they are given to the model itself."""
+    """Ids by the tokenizers library, a block of texts at a time.
 
-    MOST = 200_000
+    Texts are cut at ASCII spaces and line ends, which end every word of this tokenizer and no special token holds.
+    A distinct word of letters, and ASCII punctuation behind them, is lower-cased and cut between the two, as the tokenizer
+    does, if it has only characters below U+0300 other than U+0130: these the tokenizer's normaliser lower-cases one by
+    one into letters and doesn't compose. Its letters go to the library's model many words at once, and each word ends
+    with an id that ends words. All other words (among them those that hold `<|`) go through the whole tokenizer."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import WhitespaceSplit
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-
-    def _look(self, words) -> tuple[dict[str, bytes], list[str]]:
-        """What is known of words, and the rest."""
-        found, new, known, older = {}, [], self.known, self.older
-        for w in words:
-            ids = known.get(w)
-            if ids is None:
-                ids = older.get(w)
-                if ids is None:
-                    new.append(w)
-                    continue
-                known[w] = ids
-            found[w] = ids
-        return found, new
-
-    def _ids(self, words: list[str]) -> dict[str, bytes]:
-        model = self.tokenizer.model.tokenize
-        plain, rest = [], []
-        for w in words:
-            (plain if w.isascii() and w.isalpha() else rest).append(w)
-        out = {w: array("I", [t.id for t in model(w)]).tobytes() for w in plain}
-        out.update((w, array("I", e.ids).tobytes()) for w, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)))
-        return out
-
-    def _learn(self, words: list[str]) -> dict[str, bytes]:
-        """The ids of words that aren't known; lower case ASCII stands for both cases."""
-        parts = {}
-        for w in words:
-            stem = w.rstrip(".,!?;:")
-            if stem.isascii() and stem.isalpha():
-                parts[w] = (stem.lower(), w[len(stem) :]) if len(stem) < len(w) else (stem.lower(),)
-            elif stem.isalpha() and len(stem) < len(w):
-                parts[w] = (stem, w[len(stem) :])
+        made = json.loads(self.tokenizer.to_str())
+        cut, model = made["pre_tokenizer"] or {}, made["model"]
+        self.cuts = (
+            (made["normalizer"] or {}).get("normalizers") == NORMALIZER
+            and [p["type"] for p in cut.get("pretokenizers", [])] == ["Split", "ByteLevel"]
+            and cut["pretokenizers"][0] | {"pattern": {"Regex": SPLIT}, "behavior": "Removed", "invert": True} == cut["pretokenizers"][0]
+            and cut["pretokenizers"][1] | {"add_prefix_space": False, "use_regex": False} == cut["pretokenizers"][1]
+            and (model["type"], model["end_of_word_suffix"], model["dropout"], model["byte_fallback"]) == ("BPE", "</w>", None, False)
+            and all("<|" in t["content"] and not re.search(r"\s", t["content"]) and not (t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"]) for t in made["added_tokens"])
+        )
+        if self.cuts:
+            self.model = Tokenizer(self.tokenizer.model)
+            self.model.pre_tokenizer = WhitespaceSplit()
+            self.letters = _byte_letters() | {32: " "}
+            vocab = self.tokenizer.get_vocab()
+            self.ends = np.zeros(max(vocab.values()) + 1, bool)
+            self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+
+    def _stems(self, stems: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of lower-case words of letters, end to end, and how many each has."""
+        ids, counts = [], []
+        for k in range(0, len(stems), 500):
+            part = stems[k : k + 500]
+            text = " ".join(part)
+            text = text if text.isascii() else text.encode().decode("latin-1").translate(self.letters)
+            got = np.array(self.model.encode(text, add_special_tokens=False).ids, np.uint32)
+            last = np.flatnonzero(self.ends[got])
+            if len(last) != len(part) or len(got) - 1 != last[-1]:
+                raise ValueError("the model doesn't end each word with an id that ends words")
+            ids.append(got)
+            counts.append(np.diff(np.r_[-1, last]))
+        return (np.concatenate(ids), np.concatenate(counts)) if ids else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
+
+    def encode(self, texts: pa.Array) -> list[memoryview]:
+        """Of each text (null: empty) its ids as little-endian unsigned 32-bit integers."""
+        if not self.cuts:
+            every = self.tokenizer.encode_batch_fast([t or "" for t in texts.to_pylist()], add_special_tokens=False)
+            return [memoryview(np.array(e.ids, "<u4").tobytes()) for e in every]
+        cut = Cut(texts)
+        # A word's two pieces: a stem, or none (0), and what goes through the whole tokenizer, or none.
+        stems: dict[str, int] = {"": 0}
+        rest: dict[str, int] = {"": 0}
+        one, two = [], []
+        for w in cut.words:
+            stem = w.rstrip(string.punctuation)
+            if stem.isalpha() and (w.isascii() or not UNSAFE.search(w)):
+                one.append(stems.setdefault(stem.lower(), len(stems)))
+                two.append(rest.setdefault(w[len(stem) :], len(rest)) if len(stem) < len(w) else 0)
             else:
-                parts[w] = (w,)
-        ids, new = self._look({p for ps in parts.values() for p in ps})
-        made = self._ids(new)
-        ids.update(made)
-        found = {w: b"".join([ids[p] for p in ps]) for w, ps in parts.items()}
-        self.known.update((w, i) for w, i in (made | found).items() if len(w) <= 64)
-        return found
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [t.replace("\n", " ").split(" ") for t in texts]
-        found, new = self._look(set().union(*cut))
-        found.update(self._learn(new))
-        if len(self.known) > self.MOST:
-            self.older, self.known = self.known, {}
-        return [b"".join([found[w] for w in ws]) for ws in cut]
+                one.append(0)
+                two.append(rest.setdefault(w, len(rest)))
+        of_stems, n = self._stems(list(stems)[1:])
+        others = [e.ids for e in self.tokenizer.encode_batch_fast(list(rest)[1:], add_special_tokens=False)]
+        m = np.fromiter(map(len, others), np.int64, len(others))
+        ids = np.r_[of_stems, np.fromiter(chain.from_iterable(others), np.uint32, int(m.sum()))].astype("<u4")
+        length = np.r_[0, n, 0, m]
+        start = np.cumsum(length) - length
+        pieces = np.stack([np.array(one, np.int32), np.array(two, np.int32) + np.int32(len(n) + 1)], 1)
+        return gather(ids, start, length, pieces[cut.at].ravel(), 2 * np.diff(cut.first))
 
 
 _WORKERS: dict[str, Words] = {}
@@ -124,12 +152,14 @@ class FileWriter:
         self.frame_bytes, self.pack = frame_bytes, zstandard.ZstdCompressor(level=level, write_checksum=True)
         self.held, self.size, self.frames, self.docs, self.n_docs, self.n_tokens = [], 0, [], [], 0, 0
 
-    def add(self, doc_id: int, ids: bytes) -> None:
-        self.held.append(ids)
-        self.docs.append((len(self.frames), doc_id, len(ids) // 4))
-        self.size += len(ids)
+    def add(self, doc_id: int | None, *ids: bytes | memoryview) -> None:
+        self.held += ids
+        n = sum(map(len, ids))
+        k = len(self.frames)
+        self.docs.append((~k, 0, n // 4) if doc_id is None else (k, doc_id, n // 4))
+        self.size += n
         self.n_docs += 1
-        self.n_tokens += len(ids) // 4
+        self.n_tokens += n // 4
         if self.size >= self.frame_bytes:
             self._end_frame()
 
@@ -168,7 +198,9 @@ class FileReader:
         at, length = self.frames[-1][:2]
         listed = zstandard.ZstdDecompressor().decompress(self._at(at + 8, length - 8))
         self.frames = self.frames[:-1]
-        self.docs = np.frombuffer(listed, "<i8").reshape(-1, 3)
+        self.docs = np.frombuffer(listed, "<i8").reshape(-1, 3).copy()
+        self.unnamed = self.docs[:, 0] < 0
+        self.docs[self.unnamed, 0] = ~self.docs[self.unnamed, 0]
         self.first = np.searchsorted(self.docs[:, 0], np.arange(len(self.frames)))
 
     def _at(self, offset: int, n: int) -> bytes:
@@ -182,13 +214,14 @@ class FileReader:
             raise ValueError(f"frame {k} is damaged")
         return data
 
-    def documents(self, wanted: set[int] | None = None) -> Iterator[tuple[int, bytes]]:
+    def documents(self, wanted: set[int] | None = None) -> Iterator[tuple[int | None, bytes]]:
         """(id, ids) of all documents in order, or only of those wanted: other frames aren't read."""
         for k in range(len(self.frames)):
-            own = self.docs[self.first[k] : self.first[k + 1] if k + 1 < len(self.first) else None]
-            if wanted is None or not wanted.isdisjoint(own[:, 1].tolist()):
+            own = slice(self.first[k], self.first[k + 1] if k + 1 < len(self.first) else None)
+            docs = [None if no else d for d, no in zip(self.docs[own, 1].tolist(), self.unnamed[own])]
+            if wanted is None or not wanted.isdisjoint(docs):
                 data, at = self.frame(k), 0
-                for _, doc, n in own.tolist():
+                for doc, n in zip(docs, self.docs[own, 2].tolist()):
                     if wanted is None or doc in wanted:
                         yield doc, data[at : at + 4 * n]
                     at += 4 * n
@@ -198,7 +231,7 @@ def write(docs: DataFrame, tokenizer: str, end_id: int, folder: str, text: str =
     """Write docs' ids under `folder`; returns per file: file, n_docs, n_tokens, start (ids before it)."""
     fs, path = _fs(folder)
     fs.create_dir(path, recursive=True)
-    end = array("I", [end_id]).tobytes()
+    end = struct.pack("<I", end_id)
     spark = docs.sparkSession
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
@@ -209,11 +242,10 @@ def write(docs: DataFrame, tokenizer: str, end_id: int, folder: str, text: str =
         words = _WORKERS.get(tokenizer) or _WORKERS.setdefault(tokenizer, Words(tokenizer))
         number, writer = TaskContext.get().partitionId(), None
         for b in batches:
-            if b.num_rows:
+            for i, j in blocks(b, "text"):
                 writer = writer or FileWriter(f"{folder}/{number:07d}.tok.zst", frame_bytes)
-                ids = words.encode([t or "" for t in b.column(1).to_pylist()])
-                for doc, own in zip(b.column(0).to_pylist(), ids):
-                    writer.add(NULL_ID if doc is None else doc, own + end)
+                for doc, own in zip(b.column(0).slice(i, j - i).to_pylist(), words.encode(b.column(1).slice(i, j - i))):
+                    writer.add(doc, own, end)
         if writer:
             writer.close()
             yield pa.RecordBatch.from_pydict({"file": pa.array([number], pa.int32()), "n_docs": pa.array([writer.n_docs], pa.int64()), "n_tokens": pa.array([writer.n_tokens], pa.int64())})
@@ -237,7 +269,7 @@ def read(spark: SparkSession, files: pd.DataFrame, wanted: set[int] | None = Non
             for file, start in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 rows = []
                 for doc, ids in FileReader(file).documents(wanted):
-                    rows.append((None if doc == NULL_ID else doc, None if wanted is not None else start, len(ids) // 4, ids, zlib.crc32(ids)))
+                    rows.append((doc, None if wanted is not None else start, len(ids) // 4, ids, zlib.crc32(ids)))
                     start += len(ids) // 4
                     if len(rows) >= 500:
                         yield pack(rows)

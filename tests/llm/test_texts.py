@@ -9,6 +9,7 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import zstandard
 from hypothesis import given, settings
@@ -33,22 +34,30 @@ RANKS, ENCODING = library()
 WORDS = bpe.Words(RANKS, public_tokenizers.PATTERN)
 
 
-@pytest.mark.parametrize("text", ODD)
-def test_bpe_odd_texts(text):
-    assert list(array("I", WORDS.encode(text))) == ENCODING.encode_ordinary(text)
+def own(words, texts):
+    return [list(array("I", bytes(x))) for x in words.encode(pa.array(texts, pa.string()))]
 
 
-@settings(max_examples=300, deadline=None)
-@given(st.text(alphabet=st.sampled_from(list("aeth TH's\n\t .,1é漢 \u00a0\u2003")), max_size=60))
-def test_bpe_any_text(text):
-    assert list(array("I", WORDS.encode(text))) == ENCODING.encode_ordinary(text)
+def test_bpe_odd_texts():
+    assert own(WORDS, ODD) == [ENCODING.encode_ordinary(t) for t in ODD]
+    sliced = pa.array(["left out", *ODD, None], pa.string()).slice(1)
+    assert [list(array("I", bytes(x))) for x in WORDS.encode(sliced)] == [*(ENCODING.encode_ordinary(t) for t in ODD), []]
+    assert own(WORDS, []) == [] and own(WORDS, [None, None]) == [[], []]
 
 
-def test_bpe_bounded_table_and_long_fold(monkeypatch):
-    monkeypatch.setattr(bpe.Words, "MOST", 3)
-    small = bpe.Words(RANKS, public_tokenizers.PATTERN)
-    text = "some words and some more words, and some again " * 3
-    assert list(array("I", small.encode(text))) == ENCODING.encode_ordinary(text)
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(alphabet=st.sampled_from(list("aeth TH's\n\t .,1é漢 \u00a0\u2003_")), max_size=60), max_size=5))
+def test_bpe_any_text(texts):
+    assert own(WORDS, texts) == [ENCODING.encode_ordinary(t) for t in texts]
+
+
+def test_bpe_folds_in_parts_and_alone(monkeypatch):
+    texts = ["some words and some more words,\nand some again " * 3, "Unverhältnismäßigkeiten and antidisestablishmentarianisms " * 2 + "x" * 70]
+    for most in (10, 400_000):
+        monkeypatch.setattr(bpe, "FOLDED", most)
+        assert own(bpe.Words(RANKS, public_tokenizers.PATTERN), texts) == [ENCODING.encode_ordinary(t) for t in texts]
+    pattern = r"\w+|\W"
+    assert own(bpe.Words(RANKS, pattern), ["a bc\n"]) == [[i for p in ("a", " ", "bc", "\n") for i in bpe.fold(p.encode(), RANKS)]]
     for piece in (b"ththingtion" * 60, b"zqj" * 300, bytes(range(256)) * 3):
         assert bpe._fold_long(piece, RANKS) == bpe._fold_long(piece[:], RANKS)
         plain = [RANKS[x] for x in fold_plainly(piece)]
@@ -88,7 +97,7 @@ def test_fold_as_higher_order_functions(spark):
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     got = df.select("t", F.flatten(F.transform(coder.pieces(F.col("t")), lambda p: coder.fold(bpe.latin(p)))).alias("ids")).collect()
     small = bpe.Words(few, public_tokenizers.PATTERN)
-    assert {r.t: list(r.ids) for r in got} == {t: list(array("I", small.encode(t))) for t in texts}
+    assert {r.t: list(r.ids) for r in got} == dict(zip(texts, own(small, texts)))
 
 
 # Token files
@@ -97,19 +106,26 @@ def test_fold_as_higher_order_functions(spark):
 def hf():
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
 
 
-def test_token_words_equal_library(monkeypatch):
-    t = hf()
-    texts = [*ODD, "Don't STOP, now... The end.,!? abc:def x,y", "word, Word; WORD!", "\x1c odd \x1f sep\u2028line"]
-    for most in (400_000, 2):
-        monkeypatch.setattr(token_files.Words, "MOST", most)
-        words = token_files.Words(public_tokenizers.path("word_bpe_49k.json"))
-        for _ in range(2):
-            assert [list(array("I", x)) for x in words.encode(texts)] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+LIBRARY, TOKEN_WORDS = hf(), token_files.Words(public_tokenizers.path("word_bpe_49k.json"))
+
+
+def test_token_words_equal_library():
+    texts = [*ODD, "Don't STOP, now... The end.,!? abc:def x,y", "word, Word; WORD!", "\x1c odd \x1f sep\u2028line", "İ. İSTANBULDA Kİ, VE É, ÉÈ ªº ſs"]
+    texts += ["a <|endoftext|> b", "a<|startoftext|>b.", "<|ENDOFTEXT|> x<|", "e\u0301. E\u0301, \u0301\u0323a ΑΣ, ΣΑΣ."]
+    assert own(TOKEN_WORDS, texts) == [LIBRARY.encode(x, add_special_tokens=False).ids for x in texts]
+    assert own(TOKEN_WORDS, [None]) == [[]] and own(TOKEN_WORDS, []) == []
+    # Another tokenizer, whose words end otherwise, is given whole texts.
+    other = token_files.Words(public_tokenizers.path("byte_bpe_50k.json"))
+    assert not other.cuts and own(other, texts) == [other.tokenizer.encode(x, add_special_tokens=False).ids for x in texts]
+
+
+@settings(max_examples=500, deadline=None)
+@given(st.lists(st.lists(st.sampled_from([*"aeTH's\n\t .,1é漢İIıßΣσ_-\"<|>\u00a0\u0301\u0323ǅ", "<|endoftext|>"]), max_size=40).map("".join), max_size=4))
+def test_token_words_equal_library_on_any_text(texts):
+    assert own(TOKEN_WORDS, texts) == [LIBRARY.encode(x, add_special_tokens=False).ids for x in texts]
 
 
 def test_token_file_round_trip(tmp_path):
@@ -121,6 +137,11 @@ def test_token_file_round_trip(tmp_path):
     writer.close()
     reader = token_files.FileReader(str(tmp_path / "x"))
     assert len(reader.frames) > 5 and list(reader.documents()) == docs
+    named = token_files.FileWriter(str(tmp_path / "z"), frame_bytes=8)
+    for d in ((None, b"abcd"), (None, b"abcdefgh"), (-(1 << 63), b"xxxx")):
+        named.add(*d)
+    named.close()
+    assert list(token_files.FileReader(str(tmp_path / "z")).documents()) == [(None, b"abcd"), (None, b"abcdefgh"), (-(1 << 63), b"xxxx")]
     seen = []
     reader.frame, whole = lambda k: seen.append(k) or whole(k), reader.frame
     assert list(reader.documents({30, 33, 297})) == [d for d in docs if d[0] in (30, 33, 297)] and len(seen) <= 3
