@@ -33,7 +33,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .blocks import Cut, blocks, gather
+from .blocks import BLOCK, Cut, blocks, gather
 from .common import map_batches, table
 
 #: Bytes of pieces that are folded side by side, and those of a piece that is folded by a heap, alone.
@@ -375,7 +375,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str = public_token
         ids = [bytes(x) for i, j in blocks(batch, text) for x in _worker(key, ranks, pattern).encode(column.slice(i, j - i))]
         return {"n_tokens": [len(x) // 4 for x in ids], "ids": ids}
 
-    return map_batches(docs, run, "n_tokens long, ids binary", drop)
+    return map_batches(docs, run, "n_tokens long, ids binary", drop, BLOCK)
 
 
 def decode(df: DataFrame, ranks: dict[bytes, int], ids: str = "ids", drop: tuple[str, ...] = ()) -> DataFrame:
@@ -406,7 +406,7 @@ def coded(docs: DataFrame, ranks: dict[bytes, int], pattern: str = public_tokeni
         return out
 
     ids = "ids binary, " if keep_ids else ""
-    return map_batches(docs, run, f"n_tokens long, {ids}ids_sha256 string, decoded_sha256 string", drop)
+    return map_batches(docs, run, f"n_tokens long, {ids}ids_sha256 string, decoded_sha256 string", drop, BLOCK)
 
 
 RANKS = "byte_bpe_multi_50k.tiktoken"

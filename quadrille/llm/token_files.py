@@ -38,8 +38,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .blocks import Cut, blocks, gather
-from .common import BATCH_ROWS, new_path, table
+from .blocks import BLOCK, Cut, blocks, gather
+from .common import BATCH_ROWS, new_path, table, together
 
 SKIPPABLE, FOOTER = 0x184D2A5E, 0x8F92EAB1
 DOCS = 0x184D2A50
@@ -241,7 +241,7 @@ def write(docs: DataFrame, tokenizer: str, end_id: int, folder: str, text: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _WORKERS.get(tokenizer) or _WORKERS.setdefault(tokenizer, Words(tokenizer))
         number, writer = TaskContext.get().partitionId(), None
-        for b in batches:
+        for b in together(batches, BLOCK):
             for i, j in blocks(b, "text"):
                 writer = writer or FileWriter(f"{folder}/{number:07d}.tok.zst", frame_bytes)
                 for doc, own in zip(b.column(0).slice(i, j - i).to_pylist(), words.encode(b.column(1).slice(i, j - i))):
