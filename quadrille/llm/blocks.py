@@ -29,7 +29,7 @@ def blocks(batch: pa.RecordBatch, name: str, size: int = BLOCK) -> Iterator[tupl
 
 
 class Cut:
-    """Texts cut at spaces and line ends. words: the distinct ones; at: the place of each word of the texts among
+    """Texts cut at spaces and line ends. words: the distinct ones (an Arrow array); at: the place of each word of the texts among
     them; first: of each text its first word's number (and the number of all words); before: the byte before each
     word, 0 for the first of a text."""
 
@@ -39,7 +39,7 @@ class Cut:
         plain = pa.concat_arrays([texts, pa.array([], pa.large_string())])
         split = pc.split_pattern(pc.replace_substring(plain, "\n", " "), " ")
         coded = split.flatten().dictionary_encode()
-        self.words: list[str] = coded.dictionary.to_pylist()
+        self.words = coded.dictionary
         self.at = coded.indices.to_numpy()
         self.first = split.offsets.to_numpy().astype(np.int64) - split.offsets[0].as_py()
         lengths = pc.binary_length(split.flatten()).to_numpy().astype(np.int64)

@@ -309,17 +309,18 @@ class Words:
         if self.spaced:
             cut = Cut(texts)
             # A text with white space next to other white space, or at an end, is cut as a whole.
-            odd_word = np.array([not w or w[0].isspace() or w[-1].isspace() for w in cut.words], bool)
+            words = cut.words.to_pylist()
+            odd_word = np.array([not w or w[0].isspace() or w[-1].isspace() for w in words], bool)
             odd = np.maximum.reduceat(odd_word[cut.at], cut.first[:-1]) if len(texts) else np.zeros(0, bool)
             plain = np.repeat(~odd, np.diff(cut.first))
             # Each word with the space before it, if any, is a word of its own.
             coded = cut.at * 2 + (cut.before == 32)
-            used = np.zeros(2 * len(cut.words), bool)
+            used = np.zeros(2 * len(words), bool)
             used[coded[plain]] = True
             used = np.flatnonzero(used)
-            numbers = [[number(p, len(pieces)) for p in self._cut(cut.words[u >> 1], " " * (u & 1))] for u in used.tolist()]
+            numbers = [[number(p, len(pieces)) for p in self._cut(words[u >> 1], " " * (u & 1))] for u in used.tolist()]
             end = number("\n", len(pieces))
-            of_word = np.zeros(2 * len(cut.words), np.int64)
+            of_word = np.zeros(2 * len(words), np.int64)
             of_word[used] = np.arange(len(used))
         else:
             odd = np.ones(len(texts), bool)
@@ -334,9 +335,9 @@ class Words:
         n = np.fromiter(map(len, numbers), np.int64, len(numbers))
         flat = np.fromiter(chain.from_iterable(numbers), np.int64, int(n.sum()))
         each = np.add.reduceat(length[flat], np.cumsum(n) - n)
-        words = ids[np.repeat(start[flat] - (np.cumsum(length[flat]) - length[flat]), length[flat]) + np.arange(length[flat].sum())]
-        table = np.r_[words, ids[start[end] : start[end] + length[end]]]
-        begin, size = np.r_[np.cumsum(each) - each, len(words), 0], np.r_[each, length[end], 0]
+        own = ids[np.repeat(start[flat] - (np.cumsum(length[flat]) - length[flat]), length[flat]) + np.arange(length[flat].sum())]
+        table = np.r_[own, ids[start[end] : start[end] + length[end]]]
+        begin, size = np.r_[np.cumsum(each) - each, len(own), 0], np.r_[each, length[end], 0]
         seq = np.stack([np.where(cut.before == 10, len(each), len(each) + 1), of_word[coded]], 1)
         seq[~plain] = len(each) + 1
         made = gather(table, begin, size, seq.ravel(), 2 * np.diff(cut.first))

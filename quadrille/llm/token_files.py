@@ -31,6 +31,7 @@ import numpy as np
 import pandas as pd
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs
 import xxhash
 import zstandard
@@ -44,7 +45,7 @@ from .common import BATCH_ROWS, new_path, table, together
 SKIPPABLE, FOOTER = 0x184D2A5E, 0x8F92EAB1
 DOCS = 0x184D2A50
 #: Characters that the normaliser composes, or doesn't lower-case into one letter.
-UNSAFE = re.compile("[\u0130\u0300-\U0010ffff]")
+UNSAFE = "[\u0130\u0300-\U0010ffff]"
 
 
 #: What the cuts of Words rely on; a tokenizer of any other make is given whole texts.
@@ -93,10 +94,12 @@ class Words:
             self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
 
     def _stems(self, stems: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of lower-case words of letters, end to end, and how many each has."""
-        ids, counts = [], []
-        for k in range(0, len(stems), 500):
-            part = stems[k : k + 500]
+        """Ids of lower-case words of letters, end to end, and how many each has; one of the words may be empty."""
+        ids, counts = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        none = stems.index("") if "" in stems else len(stems)
+        every = stems[:none] + stems[none + 1 :]
+        for k in range(0, len(every), 500):
+            part = every[k : k + 500]
             text = " ".join(part)
             text = text if text.isascii() else text.encode().decode("latin-1").translate(self.letters)
             got = np.array(self.model.encode(text, add_special_tokens=False).ids, np.uint32)
@@ -105,7 +108,8 @@ class Words:
                 raise ValueError("the model doesn't end each word with an id that ends words")
             ids.append(got)
             counts.append(np.diff(np.r_[-1, last]))
-        return (np.concatenate(ids), np.concatenate(counts)) if ids else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
+        count = np.concatenate(counts)
+        return np.concatenate(ids), np.insert(count, none, 0) if none < len(stems) else count
 
     def encode(self, texts: pa.Array) -> list[memoryview]:
         """Of each text (null: empty) its ids as little-endian unsigned 32-bit integers."""
@@ -113,25 +117,19 @@ class Words:
             every = self.tokenizer.encode_batch_fast([t or "" for t in texts.to_pylist()], add_special_tokens=False)
             return [memoryview(np.array(e.ids, "<u4").tobytes()) for e in every]
         cut = Cut(texts)
-        # A word's two pieces: a stem, or none (0), and what goes through the whole tokenizer, or none.
-        stems: dict[str, int] = {"": 0}
-        rest: dict[str, int] = {"": 0}
-        one, two = [], []
-        for w in cut.words:
-            stem = w.rstrip(string.punctuation)
-            if stem.isalpha() and (w.isascii() or not UNSAFE.search(w)):
-                one.append(stems.setdefault(stem.lower(), len(stems)))
-                two.append(rest.setdefault(w[len(stem) :], len(rest)) if len(stem) < len(w) else 0)
-            else:
-                one.append(0)
-                two.append(rest.setdefault(w, len(rest)))
-        of_stems, n = self._stems(list(stems)[1:])
-        others = [e.ids for e in self.tokenizer.encode_batch_fast(list(rest)[1:], add_special_tokens=False)]
+        # A word's two pieces: a stem, or none, and what goes through the whole tokenizer, or none.
+        stem = pc.utf8_rtrim(cut.words, string.punctuation)
+        ok = pc.and_(pc.utf8_is_alpha(stem), pc.invert(pc.match_substring_regex(cut.words, UNSAFE)))
+        tail = pc.if_else(pc.equal(pc.binary_length(stem), pc.binary_length(cut.words)), "", pc.replace_substring_regex(cut.words, r"^\pL+", ""))
+        stems = pc.if_else(ok, pc.utf8_lower(stem), "").dictionary_encode()
+        rest = pc.if_else(ok, tail, cut.words).dictionary_encode()
+        of_stems, n = self._stems(stems.dictionary.to_pylist())
+        others = [e.ids for e in self.tokenizer.encode_batch_fast(rest.dictionary.to_pylist(), add_special_tokens=False)]
         m = np.fromiter(map(len, others), np.int64, len(others))
         ids = np.r_[of_stems, np.fromiter(chain.from_iterable(others), np.uint32, int(m.sum()))].astype("<u4")
-        length = np.r_[0, n, 0, m]
+        length = np.r_[n, m]
         start = np.cumsum(length) - length
-        pieces = np.stack([np.array(one, np.int32), np.array(two, np.int32) + np.int32(len(n) + 1)], 1)
+        pieces = np.stack([stems.indices.to_numpy(), rest.indices.to_numpy() + np.int32(len(n))], 1)
         return gather(ids, start, length, pieces[cut.at].ravel(), 2 * np.diff(cut.first))
 
 

@@ -117,6 +117,8 @@ def test_token_words_equal_library():
     texts += ["a <|endoftext|> b", "a<|startoftext|>b.", "<|ENDOFTEXT|> x<|", "e\u0301. E\u0301, \u0301\u0323a ΑΣ, ΣΑΣ."]
     assert own(TOKEN_WORDS, texts) == [LIBRARY.encode(x, add_special_tokens=False).ids for x in texts]
     assert own(TOKEN_WORDS, [None]) == [[]] and own(TOKEN_WORDS, []) == []
+    every = [f"x{chr(c)}y {chr(c)}, Z{chr(c)}." for c in range(0x400) if not 0xD800 <= c < 0xE000]
+    assert own(TOKEN_WORDS, every) == [LIBRARY.encode(x, add_special_tokens=False).ids for x in every]
     # Another tokenizer, whose words end otherwise, is given whole texts.
     other = token_files.Words(public_tokenizers.path("byte_bpe_50k.json"))
     assert not other.cuts and own(other, texts) == [other.tokenizer.encode(x, add_special_tokens=False).ids for x in texts]
