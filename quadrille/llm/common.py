@@ -65,10 +65,46 @@ def discard(*tables: DataFrame) -> None:
         spark.sparkContext._jvm.System.gc()
 
 
+#: Rows of a table that is broadcast, at most; larger ones are joined as Spark chooses.
+BROADCAST_ROWS = 50_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """df, to be broadcast if it has few rows. It is counted, so it should be cheap: a table in the shared folder."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
+class Own:
+    """A table under column names of our own, c0, c1 and so on, so that no operator's own column can clash with one of the
+    input, whatever its name or case. A name is looked up as Spark does, without regard to case."""
+
+    def __init__(self, df: DataFrame, drop: tuple[str, ...] = ()):
+        self.names = df.columns
+        self.df = df.toDF(*[f"c{i}" for i in range(len(self.names))])
+        lost = {d.lower() for d in drop}
+        self.kept = [i for i, n in enumerate(self.names) if n.lower() not in lost]
+
+    def name(self, column: str) -> str:
+        exact = [i for i, n in enumerate(self.names) if n == column] or [i for i, n in enumerate(self.names) if n.lower() == column.lower()]
+        if len(exact) != 1:
+            raise ValueError(f"the table has {len(exact)} columns {column}")
+        return f"c{exact[0]}"
+
+    def back(self) -> list[Column]:
+        """The input's columns that are kept, under their names."""
+        return [F.col(f"c{i}").alias(self.names[i]) for i in self.kept]
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def release(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches; when they end, memory that Arrow holds but doesn't use goes back, as workers live on between tasks."""
+    yield from batches
+    pa.default_memory_pool().release_unused()
+
+
 def together(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     """Consecutive batches as one, once they hold `size` bytes."""
     held: list[pa.RecordBatch] = []
@@ -95,7 +131,7 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], new: str, d
     types = to_arrow_schema(added)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in together(batches, size) if size else batches:
+        for b in release(together(batches, size) if size else batches):
             made = fn(b)
             arrays = [b.column(b.schema.get_field_index(n)) for n in names]
             arrays += [x if isinstance(x := made[f.name], pa.Array) else pa.array(x, type=f.type) for f in types]

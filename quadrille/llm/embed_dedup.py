@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import forest, map_batches, materialize, table
+from .common import Own, forest, map_batches, materialize, table
 from .components import components
 from .vectors import distances, kmeans, matrix, sample, usable
 
@@ -141,6 +141,8 @@ def near_duplicates(
 ) -> DataFrame:
     """df with n_links, component_id and kept."""
     t = float(np.sqrt(max(0.0, 2 - 2 * threshold)))
+    own = Own(df, ("n_links", "component_id", "kept"))
+    df, vector, label, vec_id = own.df, own.name(vector), own.name(label), own.name(vec_id)
     good = usable(F.col(vector)) & F.col(label).isNotNull() & F.col(vec_id).isNotNull()
     named = df.filter(good).select(F.col(vec_id).cast("long").alias("id"), F.col(label).alias("l"), F.col(vector).cast("array<double>").alias("v"))
     nodes = materialize(named.groupBy("l", "v").agg(F.min("id").alias("node"), F.count("*").alias("copies")), "vectors")
@@ -172,16 +174,15 @@ def near_duplicates(
         nodes.join(roots.withColumnRenamed("node", "rooted"), F.col("node") == F.col("rooted"), "left")
         .join(counts, F.col("node") == F.col("counted"), "left")
         .select(
-            F.col("l").alias("_l"), F.col("v").alias("_v"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
-            F.coalesce("root", "node").alias("component_id"),
+            "l", "v", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
+            F.coalesce("root", "node").alias("component"),
         )
     )
-    rest = [c for c in df.columns if c.lower() not in ("n_links", "component_id", "kept")]
-    own = df.select(*rest, F.when(good, F.col(vector).cast("array<double>")).alias("_w"))
-    joined = own.join(known, own[label].eqNullSafe(F.col("_l")) & (F.col("_w") == F.col("_v")), "left")
-    component = F.coalesce("component_id", F.col(vec_id).cast("long"))
+    whole = df.withColumn("w", F.when(good, F.col(vector).cast("array<double>")))
+    joined = whole.join(known, F.col(label).eqNullSafe(F.col("l")) & (F.col("w") == F.col("v")), "left")
+    component = F.coalesce("component", F.col(vec_id).cast("long"))
     return joined.select(
-        *[own[c] for c in rest], F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"),
+        *own.back(), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"),
         F.coalesce(F.col(vec_id).cast("long") == component, F.lit(True)).alias("kept"),
     )
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_batches, materialize, number, table, texts
+from .common import Own, map_batches, materialize, number, small, table, texts
 
 FIT_ROWS = 20_000
 N_FEATURES = 256 + 6
@@ -73,8 +73,9 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
     def run(batch: pa.RecordBatch) -> dict:
         return {"x": [features(t).astype(np.float32).tobytes() for t in texts(batch)]}
 
-    rows = map_batches(found, run, "x binary", ("text",)).collect()
-    rows.sort(key=lambda r: (r["_id"], bytes(r["x"])))
+    # Of rows that repeat an id one counts, so that no more rows than labels come to the driver.
+    rows = map_batches(found, run, "x binary", ("text",)).groupBy("_id").agg(F.max("_good").alias("_good"), F.min("x").alias("x")).collect()
+    rows.sort(key=lambda r: r["_id"])
     y = np.array([r["_good"] for r in rows], np.float64)
     if len(set(y.tolist())) < 2:
         return None
@@ -104,17 +105,14 @@ def rates(docs: DataFrame, labels: DataFrame, site: str, path: str, doc_id: str
     return paths.select("_site", "_path", "base_rate", "of_site", ((F.col("good") + m * F.col("of_site")) / (F.col("n") + m)).alias("site_rate"))
 
 
-def classify(
-    docs: DataFrame, labels: DataFrame, text: str = "text", site: str = "source", path: str = "lang", doc_id: str = "doc_id",
-    limit: float = 0.5, fit_rows: int = FIT_ROWS, drop: tuple[str, ...] = (),
-) -> DataFrame:
-    """docs with evidence (log odds by the text), site_rate, probability, kept."""
-    lost = {"evidence", "site_rate", "probability", "kept", *drop}
-    kept = [c for c in docs.columns if c.lower() not in lost]
-    model = train(docs, labels, text, doc_id, fit_rows)
+def _judged(own: Own, labels: DataFrame, text: str, site: str, path: str, doc_id: str, limit: float, fit_rows: int) -> DataFrame:
+    """The table's own columns that are kept, evidence, site_rate, probability, kept."""
+    columns = [f"c{i}" for i in own.kept]
+    text, site, path, doc_id = (own.name(c) for c in (text, site, path, doc_id))
+    model = train(own.df, labels, text, doc_id, fit_rows)
     if model is None:
         none = F.lit(None).cast("double")
-        return docs.select(*kept, none.alias("evidence"), none.alias("site_rate"), none.alias("probability"), F.lit(True).alias("kept"))
+        return own.df.select(*columns, *[none.alias(c) for c in ("evidence", "site_rate", "probability")], F.lit(True).alias("kept"))
     centre, scale, w = model
     slope = w[:-1] / scale
     shift = float(w[-1] - centre @ slope)
@@ -122,18 +120,28 @@ def classify(
     def run(batch: pa.RecordBatch) -> dict:
         return {"evidence": np.array([features(t).astype(np.float32) @ slope + shift for t in texts(batch, text)])}
 
-    own = docs.select(*{*kept, text, site, path})
-    scored = map_batches(own, run, "evidence double", tuple({text} - set(kept)))
-    known = rates(docs, labels, site, path, doc_id)
-    of_path = known.select("_site", "_path", "site_rate")
-    of_site = known.select(F.col("_site").alias("_s"), "of_site", "base_rate").distinct()
+    needed = dict.fromkeys([*columns, text, site, path])
+    scored = map_batches(own.df.select(*needed), run, "evidence double", () if text in columns else (text,))
+    known = materialize(rates(own.df, labels, site, path, doc_id), "rates")
+    # Units are far fewer than documents, and where they are few indeed the documents stay where they are.
+    of_path = small(known.select("_site", "_path", "site_rate"))
+    of_site = small(known.select(F.col("_site").alias("_s"), "of_site", "base_rate").distinct())
     joined = scored.join(of_site, scored[site].eqNullSafe(F.col("_s")), "left").join(
         of_path, scored[site].eqNullSafe(F.col("_site")) & scored[path].eqNullSafe(F.col("_path")), "left"
     )
     rate = F.coalesce("site_rate", "of_site")
     odds = F.coalesce(F.log(rate / (1 - rate)) - F.log(F.col("base_rate") / (1 - F.col("base_rate"))), F.lit(0.0))
     p = 1 / (1 + F.exp(-(F.col("evidence") + odds)))
-    return joined.select(*[scored[c] for c in kept], "evidence", rate.alias("site_rate"), p.alias("probability")).withColumn("kept", F.col("probability") >= limit)
+    return joined.select(*columns, "evidence", rate.alias("site_rate"), p.alias("probability"), (p >= limit).alias("kept"))
+
+
+def classify(
+    docs: DataFrame, labels: DataFrame, text: str = "text", site: str = "source", path: str = "lang", doc_id: str = "doc_id",
+    limit: float = 0.5, fit_rows: int = FIT_ROWS, drop: tuple[str, ...] = (),
+) -> DataFrame:
+    """docs with evidence (log odds by the text), site_rate, probability, kept."""
+    own = Own(docs, ("evidence", "site_rate", "probability", "kept", *drop))
+    return _judged(own, labels, text, site, path, doc_id, limit, fit_rows).select(*own.back(), "evidence", "site_rate", "probability", "kept")
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -143,4 +151,5 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
-    return classify(docs, table(spark, sf_dir, "labels")).filter("kept").select(*docs.columns)
+    own = Own(docs)
+    return _judged(own, table(spark, sf_dir, "labels"), "text", "source", "lang", "doc_id", 0.5, FIT_ROWS).filter("kept").select(*own.back())

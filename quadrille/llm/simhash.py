@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import forest, map_batches, materialize, partitions, table, texts
+from .common import Own, forest, map_batches, materialize, partitions, table, texts
 from .components import components
 from .jaccard import near_copies, node_of
 
@@ -62,15 +62,6 @@ def fingerprint(text: bytes, words: int = 4) -> int:
     return int(np.packbits(total * 2 > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def with_fingerprints(docs: DataFrame, text: str = "text", words: int = 4, drop: tuple[str, ...] = ()) -> DataFrame:
-    """docs with `fp` (the fingerprint as a signed long)."""
-
-    def run(batch: pa.RecordBatch) -> dict:
-        return {"fp": np.array([fingerprint(t, words) for t in texts(batch, text)], np.uint64).view(np.int64)}
-
-    return map_batches(docs, run, "fp long", drop)
-
-
 def _keys(fp: Column) -> Column:
     byte = [F.shiftright(fp, 8 * i).bitwiseAND(F.lit(255)) for i in range(8)]
     return F.array(*[sum(((byte[p] * (1 << 8 * j)) for j, p in enumerate(c)), F.lit(n << 24)) for n, c in enumerate(COVER)])
@@ -142,15 +133,22 @@ def links(fps: DataFrame, bits: int = 4, block: int = 1000) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", bits: int = 4, drop: tuple[str, ...] = ()) -> DataFrame:
     """docs with fingerprint (16 lowercase hex digits) and component_id."""
-    marked = materialize(with_fingerprints(docs, text, drop=drop), "fingerprints")
+    own = Own(docs, ("fingerprint", "component_id", *drop))
+    text, doc_id = own.name(text), own.name(doc_id)
+
+    def run(batch: pa.RecordBatch) -> dict:
+        return {"fp": np.array([fingerprint(t) for t in texts(batch, text)], np.uint64).view(np.int64)}
+
+    columns = [f"c{i}" for i in own.kept]
+    every = own.df.select(*dict.fromkeys([*columns, doc_id, text]))
+    marked = materialize(map_batches(every, run, "fp long", () if text in columns else (text,)), "fingerprints")
     nodes = materialize(marked.groupBy("fp").agg(F.min(doc_id).alias("least_id")), "nodes")
     roots = components(links(nodes.select("fp"), bits))
     rooted = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    classes = rooted.join(least, "root").select(F.col("fp").alias("_fp"), "component_id")
-    kept = [marked[c] for c in marked.columns if c.lower() not in ("fp", "fingerprint", "component_id")]
+    classes = rooted.join(least, "root").select("fp", "component_id")
     text_of = F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint")
-    return marked.join(classes, marked.fp == F.col("_fp")).select(*kept, text_of, "component_id")
+    return marked.join(classes, "fp").select(*own.back(), text_of, "component_id")
 
 
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -162,9 +160,11 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     least id stays, once; of rows that repeat an id, each text for itself. Rows without an id stay. Fingerprints serve
     op7 alone: near copies differ in up to some 13 bits."""
     del spark, sf_dir
-    known = near_copies(docs.select("doc_id", "text")).filter("least_id is not null")
-    kept = known.groupBy("root").agg(F.min(F.struct("least_id", "node")).alias("kept")).select("kept.*")
-    marked = docs.withColumn("_node", node_of(F.col("text")))
-    same = (marked.doc_id == kept.least_id) & (marked._node == kept.node)
-    stays = marked.join(kept, same, "left_semi").dropDuplicates(["doc_id", "_node"]).drop("_node")
-    return stays.unionByName(docs.filter("doc_id is null"))
+    own = Own(docs)
+    text, doc_id = own.name("text"), own.name("doc_id")
+    # Ids are compared as they are, whatever their type.
+    known = near_copies(own.df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))).filter("least_id is not null")
+    kept = known.groupBy("root").agg(F.min(F.struct("least_id", "node")).alias("kept")).select(F.col("kept.least_id").alias(doc_id), F.col("kept.node").alias("node"))
+    marked = own.df.withColumn("node", node_of(F.col(text)))
+    stays = marked.join(kept, [doc_id, "node"], "left_semi").dropDuplicates([doc_id, "node"])
+    return stays.select(*own.back()).unionByName(docs.filter(F.col("doc_id").isNull()))

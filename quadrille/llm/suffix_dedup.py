@@ -19,7 +19,9 @@ removed. Counting is pre-aggregated and joins are left to Spark to split, so a p
 a third of all documents share isn't gathered anywhere. Positions are gathered per document.
 
 Null text counts as empty. Documents of less than `passage` words have no passage. Rows that repeat a doc_id
-and text are one document; rows without an id take no part. Empty tables give empty results.
+and text are one document; where one id stands on several texts each of them is a document, and of equal passages these
+documents' are kept last (or, where no higher numbers are free, first). Rows without an id take no part. Empty tables
+give empty results.
 """
 
 from __future__ import annotations
@@ -28,17 +30,16 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import discard, map_batches, materialize, table, texts
+from .common import Own, discard, map_batches, materialize, table, texts
 
 PASSAGE, GRAM, SPAN = 50, 5, 21
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BYTE = np.uint64(0x100000001B3)
 #: Bytes whose words are hashed, or documents compared, at once.
-_PART = 2_000_000
+_PART = 500_000
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
@@ -241,6 +242,28 @@ def _passages(docs: DataFrame, passage: int, gram: int, span: int) -> DataFrame:
     return docs.mapInArrow(run, "hash long, doc_id long, start int, again boolean, twice boolean")
 
 
+def _named(docs: DataFrame, text: Column, doc_id: Column) -> tuple[DataFrame, DataFrame | None]:
+    """docs with `doc`, a number of each id and text: the id itself or, where an id stands on several texts, a number of
+    its own for each of them; null without an id. And, if there are such ids, doc and doc_id of their texts."""
+    keyed = docs.withColumns({"doc": doc_id.cast("long"), "digest": F.xxhash64(F.coalesce(text, F.lit("")))})
+    seen = keyed.filter("doc is not null").select("doc", "digest")
+    span = seen.agg(F.min("doc"), F.max("doc")).head()
+    several = seen.groupBy("doc").agg(F.min("digest").alias("a"), F.max("digest").alias("b")).filter("a <> b").select("doc")
+    several = materialize(several, "several")
+    if several.isEmpty():
+        return keyed.drop("digest"), None
+    texts_of = seen.join(several, "doc", "left_semi").distinct().repartitionByRange("doc", "digest").sortWithinPartitions("doc", "digest")
+    # In order of id and text; behind all ids, or before them where there is no room.
+    numbered = materialize(texts_of.withColumn("n", F.monotonically_increasing_id()), "numbered")
+    most = numbered.agg(F.max("n")).head()[0] + 1
+    base = span[1] + 1 if span[1] + most < 1 << 63 else span[0] - most
+    if base < -(1 << 63):
+        raise ValueError("ids fill the range of long, and some stand on several texts")
+    numbered = numbered.select("doc", "digest", (F.col("n") + F.lit(base)).alias("own"))
+    named = keyed.join(numbered, ["doc", "digest"], "left").withColumn("doc", F.coalesce("own", "doc")).drop("digest", "own")
+    return named, numbered.select(F.col("own").alias("doc"), F.col("doc").alias("doc_id"))
+
+
 _SPAN_TYPE = "array<struct<start:int,end:int>>"
 
 
@@ -257,9 +280,23 @@ def repeated_passages(docs: DataFrame, text: str = "text", doc_id: str = "doc_id
     until before end), removed (the spans of later copies), n_repeated, n_removed,
     first_doc_ids (the documents where its passages stand first, and the first
     of its equals)."""
+    named, several = _named(docs.select(F.col(text).alias("text"), F.col(doc_id).alias("id")), F.col("text"), F.col("id"))
+    found = _repeated(named.select(F.col("doc").alias("doc_id"), "text"), passage, gram, span)
+    if several is None:
+        return found
+    found = materialize(found, "found")
+    names = several.withColumnRenamed("doc", "number").withColumnRenamed("doc_id", "name")
+    firsts = found.select("doc_id", F.explode("first_doc_ids").alias("number")).join(names, "number", "left")
+    firsts = firsts.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.coalesce("name", "number"))).alias("firsts"))
+    out = found.join(firsts, "doc_id", "left").join(names, found.doc_id == names.number, "left")
+    return out.select(F.coalesce("name", "doc_id").alias("doc_id"), "repeated", "removed", "n_repeated", "n_removed", F.coalesce("firsts", "first_doc_ids").alias("first_doc_ids"))
+
+
+def _repeated(docs: DataFrame, passage: int = PASSAGE, gram: int = GRAM, span: int = SPAN) -> DataFrame:
+    """repeated_passages() of docs: doc_id long, which no two texts share, and text."""
     if not 0 < gram <= passage - span + 1:
         raise ValueError("passage is too short for gram and span")
-    own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(text, F.lit("")).alias("text")).filter("doc_id is not null")
+    own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).filter("doc_id is not null")
     anchors = materialize(_anchors(own, passage, gram, span), "suffixes")
     # Of equal texts only the first is searched; later ones are copies from end to end.
     info = anchors.filter("digest is not null").select("doc_id", "digest", F.col("at").alias("n_words")).distinct()
@@ -328,17 +365,21 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later copies of repeated passages are cut from the texts and n_chars follows. Documents of which
     nothing is left are dropped."""
     del spark, sf_dir
-    removed = materialize(repeated_passages(docs).filter("n_removed > 0").select(F.col("doc_id").alias("_id"), "removed"), "removed")
-    kinds = dict(docs.dtypes)
+    own = Own(docs)
+    text = own.name("text")
+    named, _ = _named(own.df, F.col(text), F.col(own.name("doc_id")))
+    cuts = _repeated(named.select(F.col("doc").alias("doc_id"), F.col(text).alias("text"))).filter("n_removed > 0")
+    cuts = materialize(cuts.select(F.col("doc_id").alias("doc"), "removed"), "removed")
+    joined = named.join(cuts, "doc", "left").drop("doc")
 
     def cut(batch: pa.RecordBatch) -> dict:
-        rows = zip(batch.column(batch.schema.get_field_index("text")).to_pylist(), batch.column(batch.schema.get_field_index("removed")).to_pylist())
-        return {"text": [cut_words(t, s) if s and t else t for t, s in rows]}
+        rows = zip(batch.column(batch.schema.get_field_index(text)).to_pylist(), batch.column(batch.schema.get_field_index("removed")).to_pylist())
+        return {text: [cut_words(t, s) if s and t else t for t, s in rows]}
 
-    joined = docs.join(removed, docs.doc_id == removed._id, "left").drop("_id")
-    out = map_batches(joined, cut, "text string")
-    gone = F.col("removed").isNotNull() & (F.trim(F.regexp_replace("text", r"[\x09-\x0D]", " ")) == "")
+    out = map_batches(joined, cut, f"{text} string")
+    gone = F.col("removed").isNotNull() & (F.trim(F.regexp_replace(text, r"[\x09-\x0D]", " ")) == "")
     out = out.filter(~F.coalesce(gone, F.lit(False)))
-    if "n_chars" in kinds:
-        out = out.withColumn("n_chars", F.when(F.col("removed").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(T._parse_datatype_string(kinds["n_chars"])))
-    return out.select(*docs.columns)
+    if "n_chars" in (n.lower() for n in own.names):
+        n = own.name("n_chars")
+        out = out.withColumn(n, F.when(F.col("removed").isNull(), F.col(n)).otherwise(F.length(text)).cast(own.df.schema[n].dataType))
+    return out.select(*own.back())

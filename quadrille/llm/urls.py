@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, number, table
+from .common import Own, materialize, number, table
 
 #: verdict, host, beginning of the path
 RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
@@ -85,14 +85,15 @@ def reputation(pages: DataFrame, labels: DataFrame) -> DataFrame:
 
 def judge(pages: DataFrame, labels: DataFrame, url: str = "url", page_id: str = "page_id", rules=RULES, limit: float = LIMIT, drop: tuple[str, ...] = ()) -> DataFrame:
     """pages with host, path, rule, verdict, bad_mean, bad_low."""
-    lost = {"host", "path", "rule", "verdict", "bad_mean", "bad_low", *drop}
-    kept = [c for c in pages.columns if c.lower() not in lost]
-    host, path = host_and_path(F.col(url))
-    cut = pages.select(*kept, host.alias("host"), path.alias("path"))
-    known = reputation(cut.select(F.col(page_id).alias("page_id"), "host"), labels).select(F.col("host").alias("_host"), "bad_mean", "bad_low")
+    own = Own(pages, ("host", "path", "rule", "verdict", "bad_mean", "bad_low", *drop))
+    host, path = host_and_path(F.col(own.name(url)))
+    columns = [f"c{i}" for i in own.kept]
+    cut = own.df.select(*columns, F.col(own.name(page_id)).alias("page_id"), host.alias("host"), path.alias("path"))
+    known = reputation(cut.select("page_id", "host"), labels).select("host", "bad_mean", "bad_low")
     rule, verdict = best_rule(F.col("host"), F.col("path"), rules)
     method = F.when(F.col("bad_low") > limit, "block").otherwise("allow")
-    return cut.join(known, cut.host == known._host).select(*kept, "host", "path", rule.alias("rule"), F.coalesce(verdict, method).alias("verdict"), "bad_mean", "bad_low")
+    judged = cut.join(known, "host").withColumns({"rule": rule, "verdict": F.coalesce(verdict, method)})
+    return judged.select(*own.back(), "host", "path", "rule", "verdict", "bad_mean", "bad_low")
 
 
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -243,6 +243,16 @@ def test_passages_query_on_small_table(spark):
     assert marked(suffix_dedup.op3_suffix_dedup(spark, SF).collect()) == passages_plainly(docs, 50)
 
 
+def test_passages_stage_keeps_both_texts_of_an_id(spark):
+    shared, other, more = (" ".join(f"{c}{i}" for i in range(60)) for c in "wxy")
+    rows = [(2, shared), (5, shared + " tail"), (5, other), (7, other), (8, more), (8, more), (None, shared)]
+    df = spark.createDataFrame([(i, t, "en", "s", 9) for i, t in rows], DOCS)
+    got = sorted((str(r.doc_id), r.text) for r in suffix_dedup.stage(spark, df, "").collect())
+    # Of the texts of an id that stands on several, equal passages are kept last.
+    assert got == sorted([("2", shared), ("5", "tail"), ("7", other), ("8", more), ("8", more), ("None", shared)])
+    assert sorted((r.doc_id, r.n_removed, r.first_doc_ids) for r in suffix_dedup.repeated_passages(df).collect()) == [(2, 0, [2]), (5, 60, [2]), (5, 60, [7]), (7, 0, [7])]
+
+
 def test_passages_stage(spark):
     words = [f"w{i}" for i in range(60)]
     rows = [(1, "head " + " ".join(words), "en", "s", 9), (2, "own\n" + "  ".join(words) + " tail é", "en", "s", 9), (3, " ".join(words), "en", None, 9)]
@@ -296,6 +306,23 @@ def test_mix_query(spark):
     assert sorted(mixing.op5_mixing(spark, SF).collect()) == sorted(mixing.op5_mixing(spark, SF).collect())
 
 
+def test_mix_takes_what_a_plain_sampler_takes(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "source")
+    keyed = docs.select("doc_id", "source", F.xxhash64("doc_id", "source", "text").alias("hash"), F.length("text").alias("n"), "text", F.xxhash64("source", F.lit("offset")).alias("offset"))
+    rows = [(r.source, math.floor(math.log2((n := len(r.text.encode().split())) + 1) * 4), r.hash % mixing.BUCKETS, n, r.hash, r.doc_id, r.offset) for r in keyed.collect()]
+    sizes = defaultdict(int)
+    for r in rows:
+        sizes[r[0]] += r[3]
+    goal, want = targets_plainly(sizes), {}
+    for source in sizes:
+        own = sorted(r[1:] for r in rows if r[0] == source)
+        expected, total = goal[source] / sizes[source], own[0][-1] % (1 << 20) / (1 << 20)
+        for i, r in enumerate(own):
+            want[r[4]] = (math.floor(expected * (i + 1) + total) - math.floor(expected * i + total)) * r[2]
+    got = {r.doc_id: r.taken for r in mixing.op5_mixing(spark, SF).collect()}
+    assert sum(got[d] != want[d] for d in got) <= 2 and abs(sum(got.values()) - sum(want.values())) <= 2 * max(r[3] for r in rows)  # rounding at a border
+
+
 def test_mix_odd_rows(spark):
     rows = [(i, "a b c d" if i % 5 else None, "en", ["a", "b", None, "é", "Z"][i % 5 if i % 7 else 2], i) for i in range(500)]
     rows += [(1, "x " * 4000, "en", "b", 1), (1, "x " * 4000, "en", "b", 1), (None, "  ", None, "zero", None)]
