@@ -13,8 +13,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Bytes of text that are coded at once; a longer text is a block of its own.
-BLOCK = 8_000_000
+#: Bytes of text that are coded at once; a longer text is a block of its own. Larger blocks hold fewer distinct words a
+#: byte, and need some 25 times their size of a worker's memory.
+BLOCK = 2_000_000
 
 
 def blocks(batch: pa.RecordBatch, name: str, size: int = BLOCK) -> Iterator[tuple[int, int]]:

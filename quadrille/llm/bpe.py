@@ -26,14 +26,13 @@ import string
 from itertools import chain
 
 import numpy as np
-import pandas as pd
 import public_tokenizers
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .blocks import BLOCK, Cut, blocks, gather
+from .blocks import Cut, blocks, gather
 from .common import map_batches, table
 
 #: Bytes of pieces that are folded side by side, and those of a piece that is folded by a heap, alone.
@@ -94,6 +93,8 @@ class Coder:
     def __init__(self, spark: SparkSession, ranks: dict[bytes, int], pattern: str, buckets: int = 16384):
         if missing := [b for b in range(256) if bytes([b]) not in ranks]:
             raise ValueError(f"ranks lack the bytes {missing[:5]}")
+        import pandas as pd  # workers don't need it
+
         self.spark, self.ranks, self.pattern, self.buckets = spark, ranks, java_pattern(pattern), buckets
         rows = pd.DataFrame({"k": [t.decode("latin-1") for t in ranks], "v": list(ranks.values())})
         self.map = literal_map(spark.createDataFrame(rows, "k string, v int"), buckets, "int")
@@ -376,7 +377,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str = public_token
         ids = [bytes(x) for i, j in blocks(batch, text) for x in _worker(key, ranks, pattern).encode(column.slice(i, j - i))]
         return {"n_tokens": [len(x) // 4 for x in ids], "ids": ids}
 
-    return map_batches(docs, run, "n_tokens long, ids binary", drop, BLOCK)
+    return map_batches(docs, run, "n_tokens long, ids binary", drop)
 
 
 def decode(df: DataFrame, ranks: dict[bytes, int], ids: str = "ids", drop: tuple[str, ...] = ()) -> DataFrame:
@@ -407,7 +408,7 @@ def coded(docs: DataFrame, ranks: dict[bytes, int], pattern: str = public_tokeni
         return out
 
     ids = "ids binary, " if keep_ids else ""
-    return map_batches(docs, run, f"n_tokens long, {ids}ids_sha256 string, decoded_sha256 string", drop, BLOCK)
+    return map_batches(docs, run, f"n_tokens long, {ids}ids_sha256 string, decoded_sha256 string", drop)
 
 
 RANKS = "byte_bpe_multi_50k.tiktoken"

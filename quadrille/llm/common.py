@@ -118,9 +118,8 @@ def together(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Record
         yield pa.concat_batches(held)
 
 
-def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], new: str, drop: tuple[str, ...] = (), size: int = 0) -> DataFrame:
-    """df without `drop`, with the columns of the DDL `new`, which fn gives for each batch (of `size` bytes or more,
-    if there are as many) as name -> array."""
+def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], new: str, drop: tuple[str, ...] = ()) -> DataFrame:
+    """df without `drop`, with the columns of the DDL `new`, which fn gives for each batch as name -> array."""
     spark = df.sparkSession
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
@@ -131,7 +130,7 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], new: str, d
     types = to_arrow_schema(added)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in release(together(batches, size) if size else batches):
+        for b in release(batches):
             made = fn(b)
             arrays = [b.column(b.schema.get_field_index(n)) for n in names]
             arrays += [x if isinstance(x := made[f.name], pa.Array) else pa.array(x, type=f.type) for f in types]

@@ -39,11 +39,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .blocks import BLOCK, Cut, blocks, gather
+from .blocks import Cut, blocks, gather
 from .common import BATCH_ROWS, new_path, table, together
 
 SKIPPABLE, FOOTER = 0x184D2A5E, 0x8F92EAB1
 DOCS = 0x184D2A50
+#: Bytes of text that are coded at once.
+BLOCK = 8_000_000
 #: Characters that the normaliser composes, or doesn't lower-case into one letter.
 UNSAFE = "[\u0130\u0300-\U0010ffff]"
 
@@ -240,7 +242,7 @@ def write(docs: DataFrame, tokenizer: str, end_id: int, folder: str, text: str =
         words = _WORKERS.get(tokenizer) or _WORKERS.setdefault(tokenizer, Words(tokenizer))
         number, writer = TaskContext.get().partitionId(), None
         for b in together(batches, BLOCK):
-            for i, j in blocks(b, "text"):
+            for i, j in blocks(b, "text", BLOCK):
                 writer = writer or FileWriter(f"{folder}/{number:07d}.tok.zst", frame_bytes)
                 for doc, own in zip(b.column(0).slice(i, j - i).to_pylist(), words.encode(b.column(1).slice(i, j - i))):
                     writer.add(doc, own, end)
