@@ -9,7 +9,8 @@ below. With reach = 1 (the default) no nearest neighbour is lost; a smaller reac
 recall to be measured (recall()). Rows of the cells walked are reranked by exact inner products.
 
 Work is dealt as blocks: rows in order of cell, at most `block` to a block, so a cell of many rows spans
-several; queries by hash. A task holds one block of rows and one of queries and returns k rows a query.
+several; queries likewise, so that those of a block ask for much the same cells. A block of rows is sent to the
+query blocks that ask for it. A task holds one block of rows and one of queries and returns k rows a query.
 
 Vectors that are null, empty, zero or hold null or non-finite components take no part, nor do vectors of
 other dimensions than the commonest, nor null ids. Ties go to the smaller id. Rows that repeat an id are
@@ -25,8 +26,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import map_batches, materialize, table
-from .vectors import distances, kmeans, matrix, sample, usable
+from .common import map_batches, materialize, partitions, table
+from .vectors import distances, kmeans, matrix, usable
 
 
 def walk(a: np.ndarray, b: np.ndarray, least: float) -> list[tuple[int, int]]:
@@ -88,10 +89,17 @@ def search(
     good = usable(F.col(vector)) & F.col(vec_id).isNotNull()
     rows = df.filter(good).select(F.col(vec_id).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), F.coalesce(queries, F.lit(False)).alias("q"))
     rows = materialize(rows, "vectors")
-    data = sample(rows, "v", sampled)
-    if not len(data):
+    dims = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
+    if not dims:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    dim, half = data.shape[1], max(1, data.shape[1] // 2)
+    dim = dims[0]["d"]
+    # A bounded sample of distinct vectors by hash; of each the least and largest id that has it.
+    picked = rows.filter(F.size("v") == dim).groupBy("v").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).orderBy(F.xxhash64("v"), "v").limit(sampled).collect()
+    data = np.array([r["v"] for r in picked], np.float64)
+    # The id whose rows alone have the vector; others' vectors are candidates of any query.
+    alone = np.array([r["lo"] for r in picked], np.int64)
+    shared = alone != np.array([r["hi"] for r in picked], np.int64)
+    half = max(1, dim // 2)
     halves = [(0, half), (half, dim)]
     books = [kmeans(data[:, a:b], centroids) if b > a else np.zeros((1, 0)) for a, b in halves]
     rows = rows.filter(F.size("v") == dim)
@@ -117,23 +125,32 @@ def search(
         start[c["cell"]] = c["n"]
     spans = {c: (first[c] // block, (first[c] + n - 1) // block) for c, n in start.items()}
 
-    # A row's block: the blocks that its cell spans, one of them by hash.
-    cells = spark.createDataFrame([(c, a, b - a + 1) for c, (a, b) in spans.items()], "cell long, lo int, span int")
-    n_queries = max(1, -(-celled.filter("q").count() // query_block))
-    # A cell at a block's edge shares it with its neighbours, so a block holds at most two blocks' rows or so.
-    left = celled.join(F.broadcast(cells), "cell").select(
-        (F.col("lo") + F.pmod(F.xxhash64("id", "v"), F.col("span")).cast("int")).alias("i"), F.explode(F.sequence(F.lit(0), F.lit(n_queries - 1))).alias("j"), "id", "v", "cell"
-    )
+    # A row's block: the blocks that its cell spans, one of them by hash; likewise for queries, so that those of a block
+    # are neighbours and ask for the same cells. A cell at a block's edge shares it with its neighbours, so a block holds
+    # at most two blocks' rows or so. Cells are centroids x centroids at most, so their table is bounded.
+    def dealt(spans: dict, name: str) -> DataFrame:
+        table_of = spark.createDataFrame([(c, a, b - a + 1) for c, (a, b) in spans.items()], "cell long, lo int, span int")
+        return F.broadcast(table_of.select("cell", (F.col("lo") + F.lit(0)).alias(f"{name}_lo"), F.col("span").alias(f"{name}_span")))
+
+    def block_of(name: str) -> Column:
+        return (F.col(f"{name}_lo") + F.pmod(F.xxhash64("id", "v"), F.col(f"{name}_span")).cast("int")).alias(name)
+
+    counted = celled.filter("q").select("id", "v", "cell").distinct().groupBy("cell").count().orderBy("cell").collect()
+    q_spans, total = {}, 0
+    for c in counted:
+        q_spans[c["cell"]] = (total // query_block, (total + c["count"] - 1) // query_block)
+        total += c["count"]
 
     def plan(batch: pa.RecordBatch) -> dict:
         x = matrix(batch.column(batch.schema.get_field_index("v")))
         ids = batch.column(batch.schema.get_field_index("id")).to_numpy()
         scores = x @ data.T
+        # A query's own rows are no candidates, however many there are.
+        scores[~shared[None, :] & (alone[None, :] == ids[:, None])] = -np.inf
         bound = [x[:, a:b] @ c.T + reach * np.sqrt((x[:, a:b] ** 2).sum(1))[:, None] * r[None, :] for (a, b), c, r in zip(halves, books, radius)]
         out = []
         for q in range(len(ids)):
-            # The query itself may be in the sample, so one more is asked for.
-            least = np.partition(scores[q], len(data) - k - 1)[len(data) - k - 1] if len(data) > k else -np.inf
+            least = np.partition(scores[q], len(data) - k)[len(data) - k] if len(data) >= k else -np.inf
             want: dict[int, list[int]] = {}
             for i, j in walk(bound[0][q], bound[1][q], least - 1e-9):
                 cell = int(i * near + j)
@@ -143,9 +160,14 @@ def search(
             out.append([{"i": at, "cells": c} for at, c in want.items()])
         return {"want": out}
 
-    asked = map_batches(celled.filter("q").select("id", "v").distinct(), plan, "want array<struct<i:int,cells:array<long>>>")
-    right = asked.select("id", "v", F.pmod(F.xxhash64("id", "v"), F.lit(n_queries)).cast("int").alias("j"), F.inline("want"))
-    found = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInArrow(_search(k), "query_id long, vec_id long, score double")
+    each = celled.filter("q").select("id", "v", "cell").distinct().repartition(partitions(spark), "id")
+    asked = map_batches(each.join(dealt(q_spans, "j"), "cell").select("id", "v", block_of("j")), plan, "want array<struct<i:int,cells:array<long>>>")
+    asked = materialize(asked, "asked")
+    # A block of rows goes to the query blocks that ask for it, and to no others.
+    pairs = asked.select("j", F.explode("want.i").alias("i")).distinct()
+    left = celled.join(dealt(spans, "i"), "cell").select(block_of("i"), "id", "v", "cell").join(pairs, "i")
+    right = asked.select("id", "v", F.col("j").alias("q_j"), F.inline("want")).withColumnRenamed("i", "q_i")
+    found = left.groupBy("i", "j").cogroup(right.groupBy("q_i", "q_j")).applyInArrow(_search(k), "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

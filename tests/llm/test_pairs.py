@@ -208,6 +208,14 @@ def test_search_ties_odd_rows_and_few_candidates(spark):
     assert ann.search(one, F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_search_leaves_out_all_rows_of_the_query(spark):
+    rng = np.random.default_rng(5)
+    own = [(20, [9.0 + i, 9.0 + i]) for i in range(8)]
+    df = spark.createDataFrame([*own, *[(i, rng.normal(size=2).tolist()) for i in range(1, 8)], (3, [30.0, 30.0])], "vec_id long, embedding array<double>")
+    got = sorted((r["rank"], r.vec_id) for r in ann.search(df, F.col("vec_id") % 20 == 0, k=3).collect() if r.query_id == 20)
+    assert [g[0] for g in got if g[0] <= 3] and got[0] == (1, 3) and len(got) == 3
+
+
 def test_search_query_equals_brute_force(spark):
     rows = [tuple(r) for r in spark.read.parquet(f"{SF}/embeddings.parquet").select("vec_id", "embedding", "label").collect()]
     got = sorted(map(tuple, ann.op8_approximate_nearest_neighbours(spark, SF).collect()))
