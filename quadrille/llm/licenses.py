@@ -68,6 +68,8 @@ def scan(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", templates:
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be above 0 and at most 1")
     sets = {name: b for name, t in sorted(templates.items()) if (b := bigrams(t))}
+    if not sets:
+        return docs.select(F.col(doc_id).alias("doc_id"), *[F.lit(None).cast(k).alias(c) for c, k in (("license", "string"), ("dice", "double"), ("n_units", "long"), ("first_line", "long"))]).limit(0)
     low, high = threshold / (2 - threshold), (2 - threshold) / threshold
     largest, least = max(map(len, sets.values())), min(map(len, sets.values()))
     key = "(?:" + "|".join(keys(list(sets.values()), threshold)) + r")(?![\p{L}\p{N}])"
@@ -105,6 +107,8 @@ def window_matches(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     """doc_id, license, dice, line of the runs of words, across line ends, that are as long as a template and match it. Of
     runs that overlap the best counts, ties going to the first name. A run shares t/(2-t) B bigrams, so its text does."""
     sets = {name: b for name, t in sorted(templates.items()) if (b := bigrams(t))}
+    if not sets:
+        return docs.select(F.col(doc_id).alias("doc_id"), *[F.lit(None).cast(k).alias(c) for c, k in (("license", "string"), ("dice", "double"), ("line", "long"))]).limit(0)
     needs = {name: math.ceil(threshold / (2 - threshold) * len(b) - 1e-9) for name, b in sets.items()}
     lengths = {name: len(re.sub(r"[\W_]+", " ", templates[name].lower()).split()) for name in sets}
     literal = {name: F.array(*map(F.lit, b)) for name, b in sets.items()}
