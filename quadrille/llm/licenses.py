@@ -103,6 +103,12 @@ def scan(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", templates:
     )
 
 
+def once(df: DataFrame, keep: list[str], **made: Column) -> DataFrame:
+    """df's columns `keep` and the columns made, which come from a generator: a filter above it isn't pushed below, so it
+    can't have them computed again for each place where it names them."""
+    return df.select(*keep, F.inline(F.array(F.struct(*[c.alias(n) for n, c in made.items()]))))
+
+
 def window_matches(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, license, dice, line of the runs of words, across line ends, that are as long as a template and match it. Of
     runs that overlap the best counts, ties going to the first name. A run shares t/(2-t) B bigrams, so its text does."""
@@ -115,18 +121,20 @@ def window_matches(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     every = F.array(*map(F.lit, dict.fromkeys(b for held in sets.values() for b in held)))
     key = "(?:" + "|".join(keys(list(sets.values()), threshold)) + r")(?![\p{L}\p{N}])"
     held = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).filter(F.lower("text").rlike(key))
-    cleaned = held.select("doc_id", F.regexp_replace(F.lower("text"), r"[^\p{L}\p{N}\n]+", " ").alias("cleaned"))
 
     def joined(words: Column) -> Column:
         n = F.size(words)
         return F.zip_with(F.slice(words, 1, F.greatest(n - 1, F.lit(0))), F.slice(words, 2, n), lambda a, b: F.concat_ws(" ", a, b))
 
-    whole = F.split(F.trim(F.regexp_replace("cleaned", "[ \n]+", " ")), " ")
-    shared = cleaned.withColumn("shared", F.transform(F.array(whole), lambda w: F.array_intersect(joined(w), every))[0])
+    own = once(held, ["doc_id"], cleaned=F.regexp_replace(F.lower("text"), r"[^\p{L}\p{N}\n]+", " "))
+    own = once(own, ["doc_id", "cleaned"], whole=F.split(F.trim(F.regexp_replace("cleaned", "[ \n]+", " ")), " "))
+    own = once(own, ["doc_id", "cleaned"], shared=F.array_intersect(joined(F.col("whole")), every)).filter(F.size("shared") >= min(needs.values()))
     enough = [F.when(F.size(F.array_intersect("shared", literal[name])) >= needs[name], F.lit(name)) for name in sets]
-    left = shared.filter(F.size("shared") >= min(needs.values())).select("doc_id", "cleaned", F.array_compact(F.array(*enough)).alias("may")).filter(F.size("may") > 0)
+    left = once(own, ["doc_id", "cleaned"], may=F.array_compact(F.array(*enough))).filter(F.size("may") > 0)
     placed = F.flatten(F.transform(F.split("cleaned", "\n"), lambda x, i: F.transform(F.filter(F.split(x, " "), lambda w: w != ""), lambda w: F.struct(i.alias("line"), w.alias("word")))))
-    left = left.withColumn("placed", placed).withColumn("words", F.col("placed.word")).withColumn("pairs", joined(F.col("words")))
+    left = once(left, ["doc_id", "may"], placed=placed)
+    left = once(left, ["doc_id", "may", "placed"], words=F.col("placed.word"))
+    left = once(left, ["doc_id", "may", "placed"], pairs=joined(F.col("words")))
     runs = []
     for name, b in sets.items():
         size = lengths[name]
@@ -142,7 +150,7 @@ def window_matches(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
         starts = F.array_distinct(F.flatten(F.transform(hits, lambda i: F.sequence(F.greatest(i - (size - 2), F.lit(0)), i))))
         good = F.filter(F.transform(starts, scored), lambda r: r["minus"] <= -threshold)
         runs.append(F.when(F.array_contains("may", name), good).otherwise(F.slice(good, 1, 0)))
-    best = left.select("doc_id", "placed", F.array_sort(F.concat(*runs)).alias("runs")).filter(F.size("runs") > 0)
+    best = once(left, ["doc_id", "placed"], runs=F.array_sort(F.concat(*runs))).filter(F.size("runs") > 0)
     taken = F.aggregate("runs", F.slice("runs", 1, 0), lambda got, r: F.when(F.exists(got, lambda g: (g["start"] < r["end"]) & (r["start"] < g["end"])), got).otherwise(F.concat(got, F.array(r))))
     out = best.select("doc_id", "placed", F.explode(taken).alias("r"))
     return out.select("doc_id", F.col("r.license").alias("license"), (-F.col("r.minus")).alias("dice"), F.col("placed")[F.col("r.start")]["line"].cast("long").alias("line"))
