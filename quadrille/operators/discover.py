@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.shared import checkpoint_dir
 from .grid import empty
 from .rect import adjacent, inside, intersecting, range_join, subtract
 
@@ -108,11 +109,7 @@ def tables(cells: DataFrame) -> DataFrame:
 def components(edges: DataFrame, vertices: DataFrame) -> DataFrame:
     """SD11: vertex, component (the least vertex reachable) by min-label rounds with pointer jumping; each round is cut by
     a checkpoint. edges: a, b; vertices: vertex."""
-    spark = edges.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp())
+    checkpoint_dir(edges.sparkSession)
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
     now = vertices.select("vertex", F.col("vertex").alias("component")).checkpoint()
     while True:

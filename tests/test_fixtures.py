@@ -332,3 +332,32 @@ def test_long_repeats_are_expanded(spark, tmp_path):
     assert layout["row"].agg(F.count("*"), F.max("y")).head() == (1030002, 1030002)
     got = ods.read_ods(spark, f"file://{tmp_path}/long.ods").groupBy(F.when(F.col("y") == 1, 1).when(F.col("y") <= 20001, 2).otherwise(3).alias("k")).agg(F.count("*"), F.max("x"), F.max("y"))
     assert sorted(map(tuple, got.collect())) == [(1, 10002, 10002, 1), (2, 20000, 1, 20001), (3, 10001, 1, 30002)]
+
+
+@pytest.mark.parametrize("width", [1, 4, 4096])
+def test_islands_join_over_stretches(spark, monkeypatch, width):
+    import random
+
+    from quadrille.operators import aggregate
+
+    monkeypatch.setattr(aggregate, "WIDTH", width)
+    rng = random.Random(3)
+    held = sorted({("a", p) for p in rng.sample(range(-30, 60), 70)} | {("b", p) for p in range(0, 33)} | {("c", 4), ("c", 5)})
+    df = spark.createDataFrame([(k, p, f"{k}{p}") for k, p in held], "k string, p int, f string")
+    want = []
+    for k, p in held:
+        if want and want[-1][0] == k and want[-1][2] == p - 1:
+            want[-1][2] = p
+        else:
+            want.append([k, p, p, f"{k}{p}"])
+    got = aggregate.islands(df, "p", "k", first="f").select("k", "low", "high", "f").collect()
+    assert sorted(map(list, got)) == sorted(want)
+
+
+def test_label_ranks_equal_a_plain_sort(spark):
+    from quadrille.operators import aggregate
+
+    labels = ["abc", "abcd", "abd", "é", "z", "ab", "zz", "abcd", "z", "ab", "q", "abce"]
+    df = spark.createDataFrame([("w", x) for x in labels], "workbook string, str string")
+    counted = sorted({(labels.count(x), x) for x in labels}, reverse=True)
+    assert [(r.label, r.cnt) for r in sorted(aggregate.label_counts(df).collect(), key=lambda r: r["rank"])] == [(x, n) for n, x in counted]
