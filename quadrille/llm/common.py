@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import gc
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -14,6 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from ..plans.shared import checkpoint_dir
+
 #: Words are runs of anything but these six ASCII white-space bytes; bytes.split() cuts the same way.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows of a batch sent to Python: documents can be long, so a batch of them must be short.
@@ -25,12 +26,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a new local one where it is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="quadrille-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
+    """The folder all executors share (see checkpoint_dir)."""
+    return checkpoint_dir(spark).rstrip("/")
 
 
 def new_path(spark: SparkSession, what: str) -> str:
