@@ -7,16 +7,18 @@ Suffixes are retained only at minimisers: a word position whose 5-word hash is l
 `span` positions. A repeated passage holds, at the same place in each copy, a retained suffix that begins
 within its first `span` words, so the copies share at least passage - span + 1 words from there on. Retained
 suffixes are sorted by that many words (by their hash, which keeps equal beginnings together), and those
-with an equal neighbour are candidates. A candidate is extended to the left, up to the candidate before
+with an equal neighbour are candidates. A candidate reaches to the left, up to the candidate before
 it or span - 1 words, and to the right to the full length: each position thus reached stands for the passage
-that begins there, and passages are sorted and compared in turn. All passages that repeat are found, and the
-hashes (64 bits) decide which are equal.
+that begins there. Of passages of equal hash each is set against the first, that of the least doc_id and there the
+first; those that follow one another in both places are one match, extended left and right as far as it goes. The
+words of each match's two places are then compared, so hashes find what may be equal and words decide: passages of a hash
+that unlike ones share are grouped by their words.
 
 Equal texts (by a 128-bit hash) are searched once.
 
-Of equal passages the first is kept, that of the least doc_id and there the first; the words of later ones are
-removed. Counting is pre-aggregated and joins are left to Spark to split, so a passage that
-a third of all documents share isn't gathered anywhere. Positions are gathered per document.
+The first of equal passages is kept; the words of later ones are removed. Counting is pre-aggregated and joins
+are left to Spark to split, so a passage that a third of all documents share isn't gathered anywhere. Positions
+are gathered per document.
 
 Null text counts as empty. Documents of less than `passage` words have no passage. Rows that repeat a doc_id
 and text are one document; where one id stands on several texts each of them is a document, and of equal passages these
@@ -209,7 +211,7 @@ def _with_neighbour(anchors: DataFrame) -> DataFrame:
 
 def _passages(docs: DataFrame, passage: int, gram: int, span: int) -> DataFrame:
     """docs: doc_id, packed, at (the document's candidates). Gives hash, doc_id, start for each passage that a
-    candidate reaches. `again`: it stands earlier in the document; `twice`: it does so later."""
+    candidate reaches."""
 
     def run(batches):
         for b, rows in parts(batches, _unpacked):
@@ -230,16 +232,89 @@ def _passages(docs: DataFrame, passage: int, gram: int, span: int) -> DataFrame:
             start = start[start < len(hashes)]
             start = start[words.owner[start] == words.owner[start + passage - 1]]
             owner, found = words.owner[start], hashes[start]
-            order = np.lexsort((start, found, owner))
-            again = np.r_[False, (found[order][1:] == found[order][:-1]) & (owner[order][1:] == owner[order][:-1])] if len(order) else np.zeros(0, bool)
             ids = b.column(b.schema.get_field_index("doc_id")).to_numpy()
-            start, owner, found = start[order], owner[order], found[order]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(found.view(np.int64)), pa.array(ids[owner]), pa.array((start - words.first[owner]).astype(np.int32)), pa.array(again), pa.array(np.r_[again[1:], False][: len(again)])],
-                names=["hash", "doc_id", "start", "again", "twice"],
-            )
+            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(ids[owner]), pa.array((start - words.first[owner]).astype(np.int32))], names=["hash", "doc_id", "start"])
+
+    return docs.mapInArrow(run, "hash long, doc_id long, start int")
+
+
+_MATCH = "doc_id long, low int, high int, first_id long, first_low int"
+
+
+def _matches(later: DataFrame, passage: int) -> DataFrame:
+    """later: doc_id, start, first_id, first_start of passages. The maximal matches that they make up, extended left and
+    right: words low until before high of doc_id, which also stand from first_low on in first_id."""
+    gathered = later.groupBy("doc_id").agg(F.collect_list("start").alias("start"), F.collect_list("first_id").alias("first_id"), F.collect_list("first_start").alias("first_start"))
+
+    def run(batches):
+        for b in batches:
+            column = {c: b.column(b.schema.get_field_index(c)) for c in ("start", "first_id", "first_start")}
+            start, first_id, first = (column[c].flatten().to_numpy().astype(np.int64) for c in column)
+            n = np.diff(column["start"].offsets.to_numpy())
+            doc = np.repeat(np.arange(len(n)), n)
+            order = np.lexsort((start, start - first, first_id, doc))
+            start, first_id, first, doc = start[order], first_id[order], first[order], doc[order]
+            new = np.r_[True, (doc[1:] != doc[:-1]) | (first_id[1:] != first_id[:-1]) | (start[1:] != start[:-1] + 1) | (first[1:] != first[:-1] + 1)][: len(doc)]
+            begin = np.flatnonzero(new)
+            end = np.r_[begin[1:], len(doc)].astype(np.int64)[: len(begin)] - 1
+            ids = b.column(b.schema.get_field_index("doc_id")).to_numpy()
+            out = [ids[doc[begin]], start[begin].astype(np.int32), (start[end] + passage).astype(np.int32), first_id[begin], first[begin].astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=["doc_id", "low", "high", "first_id", "first_low"])
+
+    return gathered.mapInArrow(run, _MATCH)
 
-    return docs.mapInArrow(run, "hash long, doc_id long, start int, again boolean, twice boolean")
+
+def _slices(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """docs: doc_id, packed. wanted: doc_id, low, high. With words: those of the text from low until before high."""
+    asked = wanted.distinct().groupBy("doc_id").agg(F.collect_list(F.struct("low", "high")).alias("asked"))
+
+    def pack(rows):
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int32(), pa.binary()))], names=["doc_id", "low", "high", "words"])
+
+    def run(batches):
+        held, size = [], 0
+        for b, rows in parts(batches, _unpacked):
+            ids = b.column(b.schema.get_field_index("doc_id")).to_pylist()
+            for doc, text, spans in zip(ids, rows, b.column(b.schema.get_field_index("asked"))):
+                words = text.split()
+                for s in spans.as_py():
+                    held.append((doc, s["low"], s["high"], b" ".join(words[s["low"] : s["high"]])))
+                    size += len(held[-1][3])
+                    if size > 1_000_000:
+                        yield pack(held)
+                        held, size = [], 0
+        if held:
+            yield pack(held)
+
+    return docs.select("doc_id", "packed").join(asked, "doc_id").mapInArrow(run, "doc_id long, low int, high int, words binary")
+
+
+def _proven(docs: DataFrame, passages: DataFrame, passage: int) -> DataFrame:
+    """The matches between each repeated passage and where it stands first, by hash and then word by word. Passages
+    of hashes that unlike passages share are grouped by their words instead, so hashes decide nothing."""
+    place = F.struct("doc_id", "start")
+
+    def later_than_first(each: DataFrame, key: str) -> DataFrame:
+        firsts = each.groupBy(key).agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
+        return each.join(firsts, key).filter(place != F.col("first")).select(key, "doc_id", "start", F.col("first.doc_id").alias("first_id"), F.col("first.start").alias("first_start"))
+
+    found = materialize(_matches(later_than_first(passages, "hash").drop("hash"), passage), "matches")
+    first_high = (F.col("first_low") + F.col("high") - F.col("low")).alias("high")
+    wanted = found.select("doc_id", "low", "high").unionByName(found.select(F.col("first_id").alias("doc_id"), F.col("first_low").alias("low"), first_high))
+    words = materialize(_slices(docs, wanted), "words")
+    there = words.select(F.col("doc_id").alias("first_id"), F.col("low").alias("first_low"), (F.col("high") - F.col("low")).alias("n"), F.col("words").alias("first_words"))
+    both = found.withColumn("n", F.col("high") - F.col("low")).join(words, ["doc_id", "low", "high"]).join(there, ["first_id", "first_low", "n"])
+    compared = materialize(both.select(*found.columns, (F.col("words") == F.col("first_words")).alias("same")), "compared")
+    discard(words)
+    proven = compared.filter("same").drop("same")
+    unlike = compared.filter("not same")
+    if unlike.isEmpty():
+        return proven
+    starts = unlike.select("doc_id", F.explode(F.sequence("low", F.col("high") - passage)).alias("start"))
+    shared = passages.join(passages.join(starts, ["doc_id", "start"], "left_semi").select("hash").distinct(), "hash", "left_semi").select("doc_id", "start").distinct()
+    worded = _slices(docs, shared.select("doc_id", F.col("start").alias("low"), (F.col("start") + passage).alias("high")))
+    worded = materialize(worded.select("doc_id", F.col("low").alias("start"), "words"), "worded")
+    return proven.unionByName(_matches(later_than_first(worded, "words").drop("words"), passage)).distinct()
 
 
 def _named(docs: DataFrame, text: Column, doc_id: Column) -> tuple[DataFrame, DataFrame | None]:
@@ -267,12 +342,15 @@ def _named(docs: DataFrame, text: Column, doc_id: Column) -> tuple[DataFrame, Da
 _SPAN_TYPE = "array<struct<start:int,end:int>>"
 
 
-def _merged(starts: np.ndarray, passage: int) -> list[dict]:
-    starts = np.unique(starts)
-    if not len(starts):
-        return []
-    cut = np.flatnonzero(np.diff(starts) > passage)
-    return [{"start": int(a), "end": int(b) + passage} for a, b in zip(starts[np.r_[0, cut + 1]], starts[np.r_[cut, len(starts) - 1]])]
+def _merged(spans: list[dict]) -> list[dict]:
+    """The spans, low until before high, joined where they overlap or touch."""
+    out: list[dict] = []
+    for s in sorted(spans, key=lambda s: (s["low"], s["high"])):
+        if out and s["low"] <= out[-1]["end"]:
+            out[-1]["end"] = max(out[-1]["end"], s["high"])
+        else:
+            out.append({"start": s["low"], "end": s["high"]})
+    return out
 
 
 def repeated_passages(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", passage: int = PASSAGE, gram: int = GRAM, span: int = SPAN) -> DataFrame:
@@ -304,28 +382,25 @@ def _repeated(docs: DataFrame, passage: int = PASSAGE, gram: int = GRAM, span: i
     members = materialize(info.filter(F.col("n_words") >= passage).join(equal, "digest").select("doc_id", "like", "n_words"), "copies")
     chosen = _with_neighbour(anchors).groupBy("doc_id").agg(F.collect_set("at").alias("at"))
     chosen = chosen.join(members.filter("doc_id <> like"), "doc_id", "left_anti")
-    passages = materialize(_passages(_packed(own).join(chosen, "doc_id"), passage, gram, span), "passages")
+    candidates = materialize(_packed(own).join(chosen, "doc_id"), "candidates")
     discard(anchors)
-    # A passage repeats if it is in two documents or twice in one. Later places in a document are decided.
-    each = passages.filter("not again")
-    firsts = each.groupBy("hash").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.max("twice").alias("two"))
-    firsts = firsts.filter("first <> last or two").select("hash", "first")
-    placed = each.join(firsts, "hash").select("doc_id", "start", "first", (F.col("doc_id") != F.col("first")).alias("later"))
-    placed = placed.unionByName(passages.filter("again").select("doc_id", "start", F.lit(None).cast("long").alias("first"), F.lit(True).alias("later")))
-    gathered = placed.groupBy("doc_id").agg(
-        F.collect_list("start").alias("_all"), F.collect_list(F.when(F.col("later"), F.col("start"))).alias("_later"), F.collect_set("first").alias("first_doc_ids")
-    )
+    passages = materialize(_passages(candidates, passage, gram, span), "passages")
+    proven = materialize(_proven(candidates, passages, passage), "proven")
+    discard(passages, candidates)
+    later = proven.select("doc_id", "low", "high", F.lit(True).alias("later"), "first_id")
+    firsts = proven.select(F.col("first_id").alias("doc_id"), F.col("first_low").alias("low"), (F.col("first_low") + F.col("high") - F.col("low")).alias("high"), F.lit(False).alias("later"), "first_id")
+    gathered = later.unionByName(firsts).distinct().groupBy("doc_id").agg(F.collect_list(F.struct("low", "high", "later")).alias("spans"), F.collect_set("first_id").alias("first_doc_ids"))
 
     def spans(batch: pa.RecordBatch) -> dict:
         out: dict[str, list] = {"repeated": [], "removed": [], "n_repeated": [], "n_removed": []}
-        for name, to in (("_all", "repeated"), ("_later", "removed")):
-            for starts in batch.column(batch.schema.get_field_index(name)):
-                found = _merged(starts.values.to_numpy(), passage)
+        for every in batch.column(batch.schema.get_field_index("spans")).to_pylist():
+            for to, own_spans in (("repeated", every), ("removed", [s for s in every if s["later"]])):
+                found = _merged(own_spans)
                 out[to].append(found)
                 out[f"n_{to}"].append(sum(s["end"] - s["start"] for s in found))
         return out
 
-    found = map_batches(gathered, spans, f"repeated {_SPAN_TYPE}, removed {_SPAN_TYPE}, n_repeated long, n_removed long", ("_all", "_later"))
+    found = map_batches(gathered, spans, f"repeated {_SPAN_TYPE}, removed {_SPAN_TYPE}, n_repeated long, n_removed long", ("spans",))
     found = materialize(found.select("doc_id", "repeated", "removed", "n_repeated", "n_removed", "first_doc_ids"), "spans")
     whole = F.array(F.struct(F.lit(0).alias("start"), F.col("n_words").alias("end")))
     first = F.array_union(F.coalesce("first_doc_ids", F.array().cast("array<long>")), F.array("like"))
