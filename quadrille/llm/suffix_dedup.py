@@ -292,13 +292,13 @@ def _slices(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 def _proven(docs: DataFrame, passages: DataFrame, passage: int) -> DataFrame:
     """The matches between each repeated passage and where it stands first, by hash and then word by word. Passages
     of hashes that unlike passages share are grouped by their words instead, so hashes decide nothing."""
-    place = F.struct("doc_id", "start")
-
     def later_than_first(each: DataFrame, key: str) -> DataFrame:
-        firsts = each.groupBy(key).agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
-        return each.join(firsts, key).filter(place != F.col("first")).select(key, "doc_id", "start", F.col("first.doc_id").alias("first_id"), F.col("first.start").alias("first_start"))
+        firsts = each.groupBy(key).agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")).filter("n > 1").drop("n")
+        repeated = materialize(each.join(firsts, key), "repeated")
+        begin = repeated.filter("doc_id = first_id").groupBy(key).agg(F.min("start").alias("first_start"))
+        return repeated.join(begin, key).filter("doc_id <> first_id or start <> first_start").drop(key)
 
-    found = materialize(_matches(later_than_first(passages, "hash").drop("hash"), passage), "matches")
+    found = materialize(_matches(later_than_first(passages, "hash"), passage), "matches")
     first_high = (F.col("first_low") + F.col("high") - F.col("low")).alias("high")
     wanted = found.select("doc_id", "low", "high").unionByName(found.select(F.col("first_id").alias("doc_id"), F.col("first_low").alias("low"), first_high))
     words = materialize(_slices(docs, wanted), "words")
@@ -314,7 +314,7 @@ def _proven(docs: DataFrame, passages: DataFrame, passage: int) -> DataFrame:
     shared = passages.join(passages.join(starts, ["doc_id", "start"], "left_semi").select("hash").distinct(), "hash", "left_semi").select("doc_id", "start").distinct()
     worded = _slices(docs, shared.select("doc_id", F.col("start").alias("low"), (F.col("start") + passage).alias("high")))
     worded = materialize(worded.select("doc_id", F.col("low").alias("start"), "words"), "worded")
-    return proven.unionByName(_matches(later_than_first(worded, "words").drop("words"), passage)).distinct()
+    return proven.unionByName(_matches(later_than_first(worded, "words"), passage)).distinct()
 
 
 def _named(docs: DataFrame, text: Column, doc_id: Column) -> tuple[DataFrame, DataFrame | None]:
