@@ -292,6 +292,7 @@ def _slices(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 def _proven(docs: DataFrame, passages: DataFrame, passage: int) -> DataFrame:
     """The matches between each repeated passage and where it stands first, by hash and then word by word. Passages
     of hashes that unlike passages share are grouped by their words instead, so hashes decide nothing."""
+
     def later_than_first(each: DataFrame, key: str) -> DataFrame:
         firsts = each.groupBy(key).agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")).filter("n > 1").drop("n")
         repeated = materialize(each.join(firsts, key), "repeated")

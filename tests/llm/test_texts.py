@@ -456,3 +456,59 @@ def test_rates_shrink_toward_parents(spark):
     labels = spark.createDataFrame([(i, int(i % 10 > 0) if i < 300 else 0, 0) for i in range(302)], "doc_id long, quality int, toxic int")
     got = {(r._site, r._path): r for r in quality.rates(spark.createDataFrame(rows, DOCS), labels, "source", "lang").collect()}
     assert 0.75 < got[("big", "de")].site_rate < 0.9 and 0 < got[("small", "en")].site_rate < got[("big", "en")].site_rate
+
+
+def rates_plainly(units):
+    """units: (site, path, good) of labelled documents. Posterior rate by site and by (site, path), and the rate of all."""
+    base = (sum(u[2] for u in units) + 0.5) / (len(units) + 1)
+
+    def shrunk(counts, prior):
+        excess = sum((g - n * prior(k)) ** 2 / (prior(k) * (1 - prior(k))) - n for k, (n, g) in counts.items())
+        spread = sum(n * (n - 1) for n, _ in counts.values())
+        m = 1 / max(0.001, min(0.5, excess / spread if spread else 0.001)) - 1
+        return {k: (g + m * prior(k)) / (n + m) for k, (n, g) in counts.items()}
+
+    sites, paths = defaultdict(lambda: (0, 0)), defaultdict(lambda: (0, 0))
+    for s, p, g in units:
+        sites[s] = (sites[s][0] + 1, sites[s][1] + g)
+        paths[s, p] = (paths[s, p][0] + 1, paths[s, p][1] + g)
+    of_site = shrunk(sites, lambda k: base)
+    return base, of_site, shrunk(paths, lambda k: of_site[k[0]])
+
+
+def test_quality_query_equals_a_plain_version(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    good = {r.doc_id: int(r.quality != 0) for r in labels.collect()}
+    rows = docs.collect()
+    marked_ = [r for r in rows if r.doc_id in good]
+    x = np.array([quality.features(r.text.encode()).astype(np.float32) for r in sorted(marked_, key=lambda r: r.doc_id)], np.float64)
+    centre, scale, w = quality.fit(x, np.array([good[r.doc_id] for r in sorted(marked_, key=lambda r: r.doc_id)], np.float64))
+    base, of_site, of_path = rates_plainly([(r.source, r.lang, good[r.doc_id]) for r in marked_])
+    got = {r.doc_id: r for r in quality.op10_quality(spark, SF).collect()}
+    assert len(got) == len(rows)
+    for r in rows:
+        rate = of_path.get((r.source, r.lang), of_site.get(r.source, base))
+        evidence = float(((quality.features(r.text.encode()) - centre) / scale) @ w[:-1] + w[-1])
+        p = 1 / (1 + math.exp(-(evidence + math.log(rate / (1 - rate)) - math.log(base / (1 - base)))))
+        assert math.isclose(got[r.doc_id].probability, p, abs_tol=1e-3)
+        assert got[r.doc_id].site_rate is None if r.source not in of_site else math.isclose(got[r.doc_id].site_rate, rate, rel_tol=1e-9)
+        assert got[r.doc_id].kept == (got[r.doc_id].probability >= 0.5)
+
+
+def test_quality_by_host_and_first_part_of_the_path(spark):
+    # Texts say nothing here; hosts, and one part of a host, do.
+    rows, marks = [], []
+    for i in range(400):
+        host, part = f"h{i % 4}.com", f"p{i // 4 % 2}"
+        rows.append((i, f"http://{host}/{part}/x{i}?q", "same words"))
+        marks.append((i, int(host != "h0.com" and (host, part) != ("h1.com", "p0"))))
+    host, path = urls.host_and_path(F.col("url"))
+    df = spark.createDataFrame([*rows, (900, "http://new.org/", "same words"), (901, "http://h0.com/p7/", "same words")], "doc_id long, url string, text string")
+    df = df.select("*", host.alias("host"), F.regexp_extract(path, "^/([^/]*)", 1).alias("part"))
+    got = quality.classify(df, spark.createDataFrame(marks, "doc_id long, quality int"), site="host", path="part").collect()
+    kept = {(r.host, r.part): r.kept for r in got}
+    assert not kept["h0.com", "p0"] and not kept["h0.com", "p1"] and not kept["h1.com", "p0"] and kept["h1.com", "p1"] and kept["h2.com", "p0"]
+    assert not kept["h0.com", "p7"]  # an unseen part has its host's rate
+    base, of_site, of_path = rates_plainly([(f"h{i % 4}.com", f"p{i // 4 % 2}", g) for i, g in marks])
+    assert all(math.isclose(r.site_rate, of_path[r.host, r.part], rel_tol=1e-9) for r in got if (r.host, r.part) in of_path)
