@@ -46,13 +46,19 @@ def features(text: bytes) -> np.ndarray:
 
 def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rounds: int = 30) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Ridge logistic regression by Newton's steps: centre, scale, weights (the last is the intercept)."""
-    centre, scale = x.mean(0), x.std(0) + 1e-3
-    z = np.c_[(x - centre) / scale, np.ones(len(x))]
-    w = np.zeros(z.shape[1])
+    # Some rows at a time, so that the driver holds no copies of all features.
+    parts = [slice(k, k + 2000) for k in range(0, len(x), 2000)]
+    wide = lambda p: x[p].astype(np.float64)
+    centre = sum(wide(p).sum(0) for p in parts) / len(x)
+    scale = np.sqrt(sum(((wide(p) - centre) ** 2).sum(0) for p in parts) / len(x)) + 1e-3
+    w = np.zeros(x.shape[1] + 1)
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        gradient = z.T @ (p - y) / len(y) + ridge * np.r_[w[:-1], 0]
-        curve = (z * (p * (1 - p) + 1e-6)[:, None]).T @ z / len(y) + ridge * np.eye(len(w))
+        gradient, curve = ridge * np.r_[w[:-1], 0], ridge * np.eye(len(w))
+        for part in parts:
+            z = np.c_[(wide(part) - centre) / scale, np.ones(len(y[part]))]
+            p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
+            gradient += z.T @ (p - y[part]) / len(y)
+            curve += (z * (p * (1 - p) + 1e-6)[:, None]).T @ z / len(y)
         step = np.linalg.solve(curve, gradient)
         w -= step
         if np.abs(step).max() < 1e-6:
@@ -79,7 +85,11 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
     y = np.array([r["_good"] for r in rows], np.float64)
     if len(set(y.tolist())) < 2:
         return None
-    return fit(np.array([np.frombuffer(bytes(r["x"]), np.float32) for r in rows], np.float64), y)
+    x = np.empty((len(rows), N_FEATURES), np.float32)
+    for k in range(len(rows)):
+        x[k], rows[k] = np.frombuffer(bytes(rows[k]["x"]), np.float32), None
+    del rows
+    return fit(x, y)
 
 
 def _strength(units: DataFrame, prior: str) -> DataFrame:
