@@ -231,19 +231,6 @@ def test_passages_equal_brute_force(spark):
     assert marked(suffix_dedup.repeated_passages(df).collect()) == passages_plainly(docs, 50)
 
 
-@pytest.mark.parametrize("bits", [0, 3])
-def test_passages_by_words_where_hashes_collide(spark, bits):
-    # All hashes of passages but a few bits are dropped, so that unlike passages share them.
-    docs = {i: w for i, w in some_texts().items() if i % 3 == 0 or i > 99}
-    df = spark.createDataFrame([(i, " ".join(w)) for i, w in docs.items()], "doc_id long, text string")
-    plain = suffix_dedup._passages
-    suffix_dedup._passages = lambda *a: plain(*a).withColumn("hash", F.col("hash").bitwiseAND(F.lit((1 << bits) - 1)))
-    try:
-        assert marked(suffix_dedup.repeated_passages(df).collect()) == passages_plainly(docs, 50) != {}
-    finally:
-        suffix_dedup._passages = plain
-
-
 def test_passages_in_parts(monkeypatch):
     texts = [" ".join(w).encode() for w in some_texts().values()]
     whole = suffix_dedup.Words(texts)
