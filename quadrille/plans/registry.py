@@ -455,9 +455,18 @@ def precedents(t):
 # Triples, labels, graphs
 
 
-@query("x:l y:l side:s lx:l ly:l label:s", f"SELECT a.x, a.y, 'left' AS side, b.x AS lx, b.y AS ly, b.str AS label FROM {NATION} a JOIN {NATION} b ON a.y = b.y AND b.x < a.x WHERE a.vtype = 'float' AND b.vtype = 'string' UNION ALL SELECT a.x, a.y, 'top', b.x, b.y, b.str FROM {NATION} a JOIN {NATION} b ON a.x = b.x AND b.y < a.y WHERE a.vtype = 'float' AND b.vtype = 'string'")
+SUPPLIER = f"""(SELECT 1 AS x, y, 'float' AS vtype, s_suppkey::DOUBLE AS num, NULL AS str FROM {_S} UNION ALL
+ SELECT 2, y, 'string', NULL, s_name FROM {_S} UNION ALL SELECT 3, y, 'float', s_acctbal, NULL FROM {_S})"""
+
+
+def label_sql(sheet: str, cells: str) -> str:
+    return f"""SELECT '{sheet}' AS sheet, a.x, a.y, 'left' AS side, b.x AS lx, b.y AS ly, b.str AS label FROM {cells} a JOIN {cells} b ON a.y = b.y AND b.x < a.x WHERE a.vtype = 'float' AND b.vtype = 'string'
+ UNION ALL SELECT '{sheet}', a.x, a.y, 'top', b.x, b.y, b.str FROM {cells} a JOIN {cells} b ON a.x = b.x AND b.y < a.y WHERE a.vtype = 'float' AND b.vtype = 'string'"""
+
+
+@query("sheet:s x:l y:l side:s lx:l ly:l label:s", f"{label_sql('nation', NATION)} UNION ALL {label_sql('supplier', SUPPLIER)}")
 def label_candidates(t):
-    return rdf.possible_labels(nation_sheet(t))
+    return rdf.possible_labels(nation_sheet(t).unionByName(supplier_sheet(t)))
 
 
 @query("s:s p:s o:s", f"SELECT 'region/' || {name_sql('x')} || y AS s, 'rightOf' AS p, 'region/' || {name_sql('(x - 1)')} || y AS o FROM {REGION} WHERE x > 1 UNION ALL SELECT 'region/' || {name_sql('x')} || y, 'below', 'region/' || {name_sql('x')} || (y - 1) FROM {REGION} WHERE y > 1")

@@ -11,9 +11,12 @@ import io
 import os
 import zipfile
 from collections.abc import Iterator
+from functools import reduce
 from xml.etree import ElementTree
 
 import pandas as pd
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -224,23 +227,35 @@ def external_urls(cells: DataFrame) -> DataFrame:
     return refs.select(F.explode("refs").alias("r")).filter("r.url <> ''").select(F.col("r.url").alias("url")).distinct()
 
 
-def load_linked(spark: SparkSession, path: str, rounds: int = 100) -> tuple[DataFrame, DataFrame]:
+def _readable(spark: SparkSession, path: str) -> bool:
+    """Whether the file is there, on any of Spark's file systems; addresses of the web are not followed."""
+    if path.startswith(("http:", "https:", "ftp:")):
+        return False
+    try:
+        own = spark._jvm.org.apache.hadoop.fs.Path(path)
+        return own.getFileSystem(spark._jsc.hadoopConfiguration()).exists(own)
+    except (Py4JJavaError, IllegalArgumentException):  # no path, or a file system that is not known
+        return False
+
+
+def load_linked(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """SC12-SC14: cells of path and of all workbooks linked from there, and workbook(url, status): loaded or REF!. A link
     that can't be read is tried as the same base name with .ods beside the first workbook. Cells are named by the
-    link's text."""
-    cells, status, folder = read_ods(spark, path), {}, os.path.dirname(path.removeprefix("file:"))
-    start = {r.url for r in cells.select(F.col("workbook").alias("url")).distinct().collect()}
-    status |= dict.fromkeys(start, "loaded")
-    for _ in range(rounds):
-        new = sorted({r.url for r in external_urls(cells).collect()} - set(status))
-        if not new:
-            break
+    link's text. Each round reads the links of the workbooks that the round before found, until none is new."""
+    cells = fresh = read_ods(spark, path)
+    status = {r.url: "loaded" for r in cells.select(F.col("workbook").alias("url")).distinct().collect()}
+    while new := sorted({r.url for r in external_urls(fresh).collect()} - set(status)):
+        found = []
         for url in new:
-            beside = os.path.join(folder, os.path.splitext(os.path.basename(url))[0] + ".ods")
-            found = next((p for p in (url.removeprefix("file://"), beside) if os.path.exists(p)), None)
-            status[url] = "loaded" if found else "REF!"
-            if found:
-                cells = cells.unionByName(read_ods(spark, found).withColumn("workbook", F.lit(url)))
+            beside = os.path.join(os.path.dirname(path), os.path.splitext(os.path.basename(url))[0] + ".ods")
+            file = next((p for p in (url, beside) if _readable(spark, p)), None)
+            status[url] = "loaded" if file else "REF!"
+            if file:
+                found.append(read_ods(spark, file).withColumn("workbook", F.lit(url)))
+        if not found:
+            break
+        fresh = reduce(DataFrame.unionByName, found)
+        cells = cells.unionByName(fresh)
     return cells, spark.createDataFrame(sorted(status.items()), "url string, status string")
 
 

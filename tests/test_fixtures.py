@@ -276,6 +276,22 @@ def test_workbooks(spark, tmp_path):
     assert values[3, 8] == (8.0, None) and values[4, 8] == (None, "REF!")
 
 
+def test_links_are_followed_until_none_is_new(spark, tmp_path):
+    def linking(name, *to):
+        cells = "".join(f"<table:table-cell office:value-type=\"float\" office:value=\"1\" table:formula=\"of:=['{url}'#A.A1]\"/>" for url in to)
+        workbook(tmp_path / name, f'<table:table table:name="A"><table:table-row>{cells}</table:table-row></table:table>')
+
+    linking("start.ods", "b.ods", "https://example.org/web.ods", "odd:name.ods")
+    linking("b.ods", "c.ods")
+    linking("c.ods", "d.ods", "b.ods")
+    linking("d.ods", f"file://{tmp_path}/e.ods")
+    linking("e.ods", "lost.ods")
+    cells, status = ods.load_linked(spark, f"file:{tmp_path}/start.ods")
+    got = {r.url.rpartition("/")[2]: r.status for r in status.collect()}
+    assert got == {"start.ods": "loaded", "b.ods": "loaded", "c.ods": "loaded", "d.ods": "loaded", "e.ods": "loaded", "web.ods": "REF!", "odd:name.ods": "REF!", "lost.ods": "REF!"}
+    assert cells.count() == 8
+
+
 def test_streamed_workbooks(spark, tmp_path):
     from quadrille.streaming import load_directory
 
