@@ -176,6 +176,38 @@ def test_embedding_query_equals_brute_force(spark):
     assert got.astype("int64").equals(want.astype("int64"))
 
 
+def test_embedding_dedup_reranks_what_codes_leave_open(spark):
+    """Pairs whose cosine is all but the threshold, in one block and several."""
+    rng, rows = np.random.default_rng(6), some_vectors(90)
+    for k in range(60):
+        x, y = rng.normal(size=(2, 16))
+        x /= np.linalg.norm(x)
+        y -= (x @ y) * x
+        y /= np.linalg.norm(y)
+        cosine = 0.93 + (-1) ** k * 10.0 ** -(k % 6 + 2)
+        rows += [(1000 + 2 * k, x.tolist(), 1), (1001 + 2 * k, (3 * (cosine * x + np.sqrt(1 - cosine**2) * y)).tolist(), 1)]
+    doubles = spark.createDataFrame(rows, VECTORS.replace("float", "double"))
+    want = embed_dedup.brute_force(pd.DataFrame(rows, columns=["vec_id", "embedding", "label"])).sort_values("vec_id").reset_index(drop=True)
+    for block in (1000, 30):
+        got = embed_dedup.near_duplicates(doubles, rows_per_list=20, block=block).drop("embedding", "label").toPandas()
+        assert got.sort_values("vec_id").reset_index(drop=True).astype("int64").equals(want.astype("int64"))
+
+
+def test_embedding_dedup_moves_codes_not_vectors(spark):
+    """However many lists there are, what is shuffled stays under four times the vectors."""
+    x = np.random.default_rng(8).normal(size=(6000, 64)).astype(np.float32)
+    rows = spark.createDataFrame(pd.DataFrame({"vec_id": range(len(x)), "embedding": x.tolist(), "label": 1}), VECTORS)
+    store = spark.sparkContext._jvm.org.apache.spark.SparkContext.getOrCreate().statusStore()
+
+    def shuffled():
+        stages = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), None)
+        return sum(stages.apply(k).shuffleWriteBytes() for k in range(stages.size()))
+
+    before = shuffled()
+    assert embed_dedup.near_duplicates(rows, rows_per_list=100).filter("n_links > 0").count() == 0
+    assert 0 < shuffled() - before < 4 * x.nbytes
+
+
 def exact_search(rows, queries, k):
     out = []
     use = [(i, np.array(v, np.float64)) for i, v, _ in rows if i is not None and v and None not in v and np.isfinite(v).all() and any(v)]
