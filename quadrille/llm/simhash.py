@@ -12,6 +12,12 @@ Null text counts as empty; a document without words has fingerprint zero, linked
 fingerprints are one node, so copies are never paired. A null doc_id is never a component's id, unless
 the component has no other. Repeated rows give repeated results. Further columns are kept; those named
 fingerprint and component_id are replaced.
+
+The pipeline's stage (near_copies) takes texts whose sets of five-word shingles are similar at 0.8. Fingerprints of 64 bits and 4
+differing bits reach few of them, so it votes 128 bits over the distinct shingles and posts them under the 56 pairs
+of byte positions of the same half: all that share 3 of the 16 bytes meet in a list. Fingerprints that differ in WIDE bits at
+most are candidates, and their whole sets are compared. A pair at 0.8 differs in some 19 bits, and shares less than two bytes of a
+half in one case of ten, so the lists of jaccard then check what fingerprints leave apart.
 """
 
 from __future__ import annotations
@@ -25,9 +31,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import jaccard
 from .common import Own, forest, map_batches, materialize, partitions, table, texts
 from .components import components
-from .jaccard import near_copies, node_of
+from .jaccard import node_of
 
 SEED = 42
 
@@ -40,6 +47,8 @@ def _cover() -> list[tuple[int, ...]]:
 
 
 COVER = _cover()
+#: The stage's fingerprints: differing bits at most, and members behind one in a list that it is compared with.
+WIDE, WINDOW = 32, 1000
 
 
 def fingerprint(text: bytes, words: int = 4) -> int:
@@ -155,10 +164,84 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), drop=("text",))
 
 
+def vote(hashes: np.ndarray) -> np.ndarray:
+    """128 bits as two longs, of distinct shingles' hashes: the hash and a mix of it. Ties are as in the least hash."""
+    if not len(hashes):
+        return np.zeros(2, np.int64)
+    h = hashes.view(np.uint64)
+    mixed = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    mixed = (mixed ^ (mixed >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    both = np.stack([h, mixed ^ (mixed >> np.uint64(31))], axis=1)
+    total = np.zeros(128, np.int64)
+    for at in range(0, len(both), 255):
+        bits = np.unpackbits(both[at : at + 255].view(np.uint8), axis=1, bitorder="little")
+        total += np.add.reduce(bits, axis=0, dtype=np.uint8)
+        if not at:
+            least = bits[0]
+    out = np.where(2 * total == len(both), least, 2 * total > len(both))
+    return np.packbits(out.astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def _wide_keys() -> Column:
+    byte = [[F.shiftrightunsigned(c, 8 * i).bitwiseAND(F.lit(255)) for i in range(8)] for c in ("f0", "f1")]
+    return F.array(*[b[i] * 256 + b[j] + F.lit(n << 16) for n, (b, i, j) in enumerate((b, i, j) for b in byte for i, j in combinations(range(8), 2))])
+
+
+def _tree(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of rows (key, node, f0, f1) in order of key: nodes of pairs of a list that differ in WIDE bits at most, as many as
+    join the members, or some more."""
+    new = np.r_[True, rows[0, 1:] != rows[0, :-1]]
+    start = np.flatnonzero(new)
+    size = np.diff(np.r_[start, rows.shape[1]])
+    run = np.cumsum(new) - 1
+    left = np.repeat(start + size, size) - np.arange(rows.shape[1])
+    f = np.ascontiguousarray(rows[2:].T).view(np.uint64)
+    root, a, b = np.arange(rows.shape[1]), [], []
+    step, at = 1, np.flatnonzero(left > 1)
+    while len(at) and step <= WINDOW:
+        x = at[root[at] != root[at + step]]
+        x = x[np.bitwise_count(f[x] ^ f[x + step]).sum(axis=1, dtype=np.int64) <= WIDE]
+        if len(x):
+            a.append(x)
+            b.append(x + step)
+            u, v = forest(root[x], root[x + step])
+            to = np.arange(len(root))
+            to[u] = v
+            root = to[root]
+        step += 1
+        mixed = np.minimum.reduceat(root, start) != np.maximum.reduceat(root, start) if step % 8 == 1 else None
+        at = at[(left[at] > step) & (mixed[run[at]] if mixed is not None else True)]
+    x, y = (rows[1, np.concatenate(p)] if p else rows[1, :0] for p in (a, b))
+    return np.minimum(x, y), np.maximum(x, y)
+
+
+def wide_pairs(fps: DataFrame) -> DataFrame:
+    """fps: node, f0, f1. Candidates a, b by the positional byte index; a list's candidates join those of its members that
+    stand within WINDOW and are joined by WIDE bits."""
+    n = partitions(fps.sparkSession)
+    posted = fps.dropDuplicates(["node"]).select("node", "f0", "f1", F.explode(_wide_keys()).alias("key"))
+    posted = posted.select("key", "node", "f0", "f1").repartition(n, "key").sortWithinPartitions("key", "node")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in jaccard._runs(batches, ["key", "node", "f0", "f1"], 1):
+            a, b = _tree(rows)
+            for at in range(0, len(a), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(a[at : at + 100_000]), pa.array(b[at : at + 100_000])], names=["a", "b"])
+
+    return posted.mapInArrow(run, "a long, b long").distinct()
+
+
+def near_copies(docs: DataFrame) -> DataFrame:
+    """docs: text, doc_id. node, root of each distinct text, and the least doc_id that has it."""
+    marked = docs.select("doc_id", "text", node_of(F.col("text")).alias("node"))
+    nodes = marked.groupBy("node").agg(F.min("doc_id").alias("least_id"))
+    roots = jaccard.links(marked.select("node", "text"), vote=vote, near=wide_pairs)
+    return nodes.join(roots, "node", "left").select("node", "least_id", F.coalesce("root", "node").alias("root"))
+
+
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of the documents joined by a similarity of 0.8 of their five-word shingles (see jaccard) the one with the
-    least id stays, once; of rows that repeat an id, each text for itself. Rows without an id stay. Fingerprints serve
-    op7 alone: near copies differ in up to some 13 bits."""
+    """Of the documents joined by a similarity of 0.8 of their five-word shingles (see near_copies) the one with the
+    least id stays, once; of rows that repeat an id, each text for itself. Rows without an id stay."""
     del spark, sf_dir
     own = Own(docs)
     text, doc_id = own.name("text"), own.name("doc_id")

@@ -119,6 +119,70 @@ def test_near_copies_equal_brute_force(spark, block):
     }
 
 
+def changed_texts(seed=4):
+    """Texts of 20 to 120 words in five forms each, with up to an eighth of the words' shingles changed."""
+    rng, texts = np.random.default_rng(seed), ["", " ", "a b", "A  b", "a b c d e f", "a b c d e f g"]
+    for _ in range(40):
+        base = [f"w{i}" for i in rng.integers(0, 5000, rng.integers(20, 120))]
+        for k in range(5):
+            words = list(base)
+            for at in rng.integers(0, len(words), k * len(words) // 180):
+                words[at] = f"x{rng.integers(0, 10**6)}"
+            texts.append(" ".join([*words, f"end{k}"]))
+    return texts
+
+
+def plain_vote(text):
+    hashes = sorted((xxhash.xxh64_intdigest(s, 42) for s in plain_shingles(text)), key=lambda h: h - (h >> 63 << 64))
+    both, top = [], (1 << 64) - 1
+    for h in hashes:
+        m = (h ^ (h >> 30)) * 0xBF58476D1CE4E5B9 & top
+        m = (m ^ (m >> 27)) * 0x94D049BB133111EB & top
+        both.append(h | (m ^ (m >> 31)) << 64)
+    ones = [2 * sum(h >> b & 1 for h in both) for b in range(128)]
+    return sum(1 << b for b in range(128) if ones[b] > len(both) or both and ones[b] == len(both) and both[0] >> b & 1)
+
+
+def test_wide_fingerprints_and_their_index_equal_brute_force(spark):
+    texts = changed_texts()
+    votes = [simhash.vote(jaccard.shingles(t.encode())) for t in texts]
+    plain = [plain_vote(t) for t in texts]
+    assert [int.from_bytes(v.tobytes(), "little") for v in votes] == plain
+    fps = spark.createDataFrame([(i, int(v[0]), int(v[1])) for i, v in enumerate(votes)], "node long, f0 long, f1 long")
+    got = [(r.a, r.b) for r in simhash.wide_pairs(fps).collect()]
+
+    def meets(a, b):
+        same = [(a >> 8 * k ^ b >> 8 * k) & 255 == 0 for k in range(16)]
+        return (a ^ b).bit_count() <= 32 and (sum(same[:8]) > 1 or sum(same[8:]) > 1)
+
+    close = [(a, b) for a, b in combinations(range(len(texts)), 2) if meets(plain[a], plain[b])]
+    assert set(got) <= set(close) and union(got, range(len(texts))) == union(close, range(len(texts)))
+
+
+def test_simhash_stage_takes_its_links_from_fingerprints_and_misses_none(spark, monkeypatch):
+    """SimHash alone joins nine tenths of the similar pairs at least; the check after it is over what it left apart."""
+    texts = changed_texts()
+    sets = [plain_shingles(t) for t in texts]
+    close = [(a, b) for a, b in combinations(range(len(texts)), 2) if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = sorted({r for r in union(close, range(len(texts))).values()})
+    assert sorted(r.doc_id for r in simhash.stage(spark, docs, "").collect()) == want
+    first, across = [], jaccard._across
+
+    def seen(lists, sketches, roots, *more):
+        first.append({r.node: r.root for r in roots.collect()})
+        return across(lists, sketches, roots, *more)
+
+    monkeypatch.setattr(jaccard, "_across", seen)
+    simhash.stage(spark, docs, "").collect()
+    node = {r.doc_id: r.node for r in docs.select("doc_id", jaccard.node_of(F.col("text")).alias("node")).collect()}
+    joined = sum(first[0].get(node[a], node[a]) == first[0].get(node[b], node[b]) for a, b in close)
+    assert len(close) > 50 and joined >= 0.9 * len(close)
+    monkeypatch.setattr(simhash, "wide_pairs", lambda fps: fps.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0))
+    first.clear()
+    assert sorted(r.doc_id for r in simhash.stage(spark, docs, "").collect()) == want and not first[0]
+
+
 def test_simhash_stage_joins_at_a_similarity_of_four_fifths(spark):
     """Pairs of sf0.1 that differ in 6 and 7 bits."""
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").filter("doc_id in (7743, 9710, 989, 7711, 1, 2)")
